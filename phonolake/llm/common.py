@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it, in Java and RE2 syntax.
 SPACE = r"[\x20\x09-\x0D]"
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +64,22 @@ def _clean() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: send it along unless PYTHONPATH already has it."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    made = Path(tempfile.mkdtemp(prefix="phonolake-")) / f"{__name__.partition('.')[0]}.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted((root / "phonolake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(made))
+    _shipped.add(context.applicationId)
+
+
 def column(df: DataFrame, name: str) -> Column:
     """df's column of that name, whatever characters it has."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op10_quality
+from phonolake.llm import op4_secrets, op6_sharding, op10_quality
 
-_MODULES = {"op10_quality_rules": op10_quality}
+_MODULES = {
+    "op4_secret_scans": op4_secrets,
+    "op6_sharding": op6_sharding,
+    "op10_quality_rules": op10_quality,
+}
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}
