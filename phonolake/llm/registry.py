@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op4_secrets, op6_sharding, op10_quality
+from phonolake.llm import op3_packing, op4_secrets, op6_sharding, op10_quality
 
 _MODULES = {
+    "op3_best_fit_packing": op3_packing,
     "op4_secret_scans": op4_secrets,
     "op6_sharding": op6_sharding,
     "op10_quality_rules": op10_quality,
