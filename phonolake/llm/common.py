@@ -93,6 +93,17 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Rows that one step of `repeated` makes at most.
+SPREAD = 10_000
+
+
+def repeated(df: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column n says, without n; no long array is ever built."""
+    steps = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / SPREAD))).alias("__step"))
+    some = F.least(F.lit(SPREAD).cast("long"), F.col(n) - F.col("__step") * SPREAD)
+    return steps.select("*", F.explode(F.sequence(F.lit(1).cast("long"), some)).alias("__one")).drop(n, "__step", "__one")
+
+
 def text_key(text: Column) -> Column:
     """64-bit content key of a text; with doc_id it names a row, and repeated rows share it."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit(""))))
