@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op2_simhash, op3_packing, op4_secrets, op6_sharding, op7_decontaminate, op10_quality
+from phonolake.llm import op2_simhash, op3_packing, op4_secrets, op6_sharding, op7_decontaminate, op8_warc, op10_quality
 
 _MODULES = {
     "op2_simhash_near_dedup": op2_simhash,
@@ -10,6 +10,7 @@ _MODULES = {
     "op4_secret_scans": op4_secrets,
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality,
 }
 
