@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op2_simhash, op3_packing, op4_secrets, op6_sharding, op7_decontaminate, op8_warc, op10_quality
+from phonolake.llm import op2_simhash, op3_packing, op4_secrets, op5_urls, op6_sharding, op7_decontaminate, op8_warc, op10_quality
 
 _MODULES = {
     "op2_simhash_near_dedup": op2_simhash,
     "op3_best_fit_packing": op3_packing,
     "op4_secret_scans": op4_secrets,
+    "op5_url_filters": op5_urls,
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_decontaminate,
     "op8_warc": op8_warc,
