@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import SPACE, column, table, unused
+from phonolake.llm.common import SPACE, column, materialize, table, unused
 
 #: Words in a window whose repetition counts.
 WINDOW = 8
@@ -30,8 +30,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.coalesce(F.length(text) - F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def symbols(text: Column) -> Column:
@@ -58,13 +63,17 @@ def stutters(words: Column) -> Column:
 
 
 def window_hashes(words: Column) -> Column:
-    return F.when(
-        F.size(words) >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """A 64-bit hash of each window, from its words' hashes."""
+    return bound(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda h: F.when(
+            F.size(h) >= WINDOW,
+            F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )
 
 
-def repeated_words(hashes: Column) -> Column:
+def repeated_words(words: Column) -> Column:
     """Words inside windows that the text has twice or more, the first included.
 
     Sorting (hash, start) pairs puts equal windows side by side; the starts of
@@ -72,8 +81,6 @@ def repeated_words(hashes: Column) -> Column:
     spans is measured gap by gap. Most texts repeat no window: they stop at the
     distinct count.
     """
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
     def starts(pairs: Column) -> Column:
         def twin(p: Column, j: Column) -> Column:
             same = lambda k: F.coalesce(F.get(pairs, k)["h"] == p["h"], F.lit(False))
@@ -89,9 +96,12 @@ def repeated_words(hashes: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    # A one-element transform binds an array to a variable, so it is computed once.
-    once = F.transform(F.array(ordered), lambda pairs: union(starts(pairs)))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(F.get(once, F.lit(0)))
+    def measure(hashes: Column) -> Column:
+        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(repeats, bound(ordered, lambda pairs: union(starts(pairs)))).otherwise(F.lit(0).cast("long"))
+
+    return bound(window_hashes(words), measure)
 
 
 @dataclass(frozen=True)
@@ -106,11 +116,11 @@ class Rule:
 #: documents of the test tables stay (see the README).
 RULES = (
     Rule("min_words", lambda t, w: F.size(w) < 20),
-    Rule("repeated_words", lambda t, w: repeated_words(window_hashes(w)) * 100 > F.size(w) * 30),
+    Rule("repeated_words", lambda t, w: repeated_words(w) * 100 > F.size(w) * 30),
     Rule("symbols", lambda t, w: symbols(t) * 10 > F.size(w)),
     Rule("exclamations", lambda t, w: F.coalesce(F.regexp_count(t, F.lit("!")), F.lit(0)) * 2 > F.size(w)),
-    Rule("capitals", lambda t, w: capitals(t) * 2 > word_chars(t)),
-    Rule("word_length", lambda t, w: (word_chars(t) > F.size(w) * 15) | (word_chars(t) < F.size(w) * 2)),
+    Rule("capitals", lambda t, w: capitals(t) * 2 > word_chars(w)),
+    Rule("word_length", lambda t, w: (word_chars(w) > F.size(w) * 15) | (word_chars(w) < F.size(w) * 2)),
     Rule("dup_lines", lambda t, w: dup_lines(t) * 2 > F.size(worded_lines(t))),
     Rule("stutter", lambda t, w: stutters(w) * 10 > F.size(w) * 3),
 )
@@ -126,10 +136,12 @@ class Estimate:
 def estimate(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> list[Estimate]:
     """Cost and selectivity of each rule on at most sample_rows rows, best first.
 
-    Only counts come back to the driver. The cost is a rule's seconds less those
-    of a pass that makes the words alone.
+    The sample is written once, so that no rule reads the whole table; only
+    counts come back to the driver. The cost is a rule's seconds less those of a
+    pass that makes the words alone.
     """
-    sample = docs.select(column(docs, text).alias("t")).limit(sample_rows).select("t", words_of(F.col("t")).alias("w"))
+    sample = materialize(docs.select(column(docs, text).alias("t")).limit(sample_rows), "sample")
+    sample = sample.select("t", words_of(F.col("t")).alias("w"))
 
     def timed(reject: Column) -> tuple[float, float]:
         began = time.perf_counter()
@@ -171,12 +183,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = [e.name for e in estimate(docs) if e.name not in ("min_words", "repeated_words")]
     words = docs.withColumn("w", words_of(F.col("text")))
-    base = words.withColumn("n_repeat_words", repeated_words(window_hashes(F.col("w"))))
+    base = words.withColumn("n_repeat_words", repeated_words(F.col("w")))
     failed = (F.size("w") < 20) | (F.col("n_repeat_words") * 100 > F.size("w") * 30)
     return base.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        word_chars(F.col("text")).alias("word_chars"),
+        word_chars(F.col("w")).alias("word_chars"),
         symbols(F.col("text")).alias("n_symbols"),
         dup_lines(F.col("text")).alias("n_dup_lines"),
         "n_repeat_words",
