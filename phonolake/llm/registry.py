@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op2_simhash, op3_packing, op4_secrets, op5_urls, op6_sharding, op7_decontaminate, op8_warc, op10_quality
+from phonolake.llm import op1_suffix_dedup, op2_simhash, op3_packing, op4_secrets, op5_urls, op6_sharding, op7_decontaminate, op8_warc, op10_quality
 
 _MODULES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash_near_dedup": op2_simhash,
     "op3_best_fit_packing": op3_packing,
     "op4_secret_scans": op4_secrets,
