@@ -10,7 +10,12 @@ into their upper node, level by level, and a search adds up differences on the
 way down, dropping a whole group as soon as the sum passes the radius, or when
 the group is already known to be in the searcher's component. Patterns with
 more than HOT members are factored once more by a block of the rest, which
-loses no pair either. What leaves a pattern is a spanning forest, never all
+loses no pair either.
+
+`keep_one` links texts whose shingle sets are similar from a stated Jaccard
+similarity on. Such pairs differ in a good tenth of their bits, too many for whole
+blocks, so fingerprints are longer and the top level's masks are drawn bits, as
+many masks as a stated recall asks for. What leaves a pattern is a spanning forest, never all
 pairs; components of the forests are found across the cluster.
 
 Defined results: a null or empty text has fingerprint zero and links like any
@@ -22,16 +27,19 @@ the key and the text are not read.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import column, materialize, ship, table
+from phonolake.llm.common import column, materialize, ship, table, text_key, unused
 from phonolake.llm.graph import components
 
 SEED = 42
@@ -42,41 +50,68 @@ FANOUT = 16
 HOT = 50_000
 
 
-def fingerprint(text: str | None, words_in_shingle: int) -> int:
+def fingerprint(text: str | None, words_in_shingle: int, width: int = 1, repeats: bool = True) -> np.ndarray:
+    """The bit majorities, 64 * width of them, as signed longs. The first 64 are of the
+    shingles' XXH64; further ones are of that hash mixed anew. Without repeats, equal
+    shingles count once."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(width, np.int64)
     k = min(words_in_shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    hashes = hashes if repeats else np.unique(hashes)
+    out = np.empty(width, "<i8")
+    for i in range(width):
+        mixed = hashes
+        if i:
+            mixed = (hashes + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(29)
+        ones = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]
+    return out
+
+
+def _fields(width: int) -> list[str]:
+    return [f"f{i}" for i in range(width)]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 3) -> DataFrame:
-    """(key, fp) of each row, fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 3, width: int = 1, repeats: bool = True) -> DataFrame:
+    """(key, r1, r2, f0 ..) of each row; r1 and r2 are hashes of its key and its text."""
     ship(docs.sparkSession)
-    slim = docs.select(column(docs, key).alias("key"), column(docs, text).alias("text"))
+    own, t = column(docs, key), column(docs, text)
+    slim = docs.select(own.alias("key"), F.xxhash64(own).alias("r1"), text_key(t).alias("r2"), t.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([fingerprint(t.as_py(), words_in_shingle) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["key", "fp"])
+            made = np.array([fingerprint(t.as_py(), words_in_shingle, width, repeats) for t in batch.column(3)], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["key", "r1", "r2", *_fields(width)])
 
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"{f} long" for f in _fields(width))
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, r1 long, r2 long, {kinds}")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Each code's place in the Gray sequence."""
+    """Each code's place in the Gray sequence, as words from the highest; codes is (n, words)."""
     rank = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    # A word's lowest rank bit is its parity; odd words above turn the words below around.
+    odd = np.bitwise_xor.accumulate(rank & np.uint64(1), axis=1)
+    rank[:, 1:] ^= -odd[:, :-1]
     return rank
 
 
+def apart(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Differing bits of codes (n, words), under a mask if given."""
+    x = a ^ b
+    return np.bitwise_count(x if mask is None else x & mask).sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
     """The hierarchy under one pattern: levels of (mask, pattern), the members at the bottom.
 
@@ -84,7 +119,7 @@ class GrayIndex:
     """
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes[np.argsort(gray_rank(codes))]
+        self.codes = codes[np.lexsort(gray_rank(codes).T[::-1])]
         ones, zeros = self.codes, ~self.codes  # bits set in all, bits clear in all
         self.levels = [(~np.zeros_like(ones), ones)]
         while len(ones) > FANOUT:
@@ -92,15 +127,14 @@ class GrayIndex:
             ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
             shared = ones | zeros
             mask, pattern = self.levels[-1]
-            parent = np.repeat(shared, FANOUT)[: len(mask)]
-            self.levels[-1] = (mask & ~parent, pattern)
+            self.levels[-1] = (mask & ~np.repeat(shared, FANOUT, axis=0)[: len(mask)], pattern)
             self.levels.append((shared, ones))
 
-    def forest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, the smallest code of each one's component by links within the radius)."""
+    def forest(self, radius: int) -> np.ndarray:
+        """For each of self.codes, the place of the first member of its component by links within the radius."""
         n = len(self.codes)
         label = np.arange(n)
-        near = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= radius)
+        near = np.flatnonzero(apart(self.codes[1:], self.codes[:-1]) <= radius)
         label = join(label, near, near + 1)
         step = int(np.clip(2_000_000 // n, 1, 1024))
         for first in range(0, n, step):
@@ -108,24 +142,21 @@ class GrayIndex:
             low, high = self._ranges(label)
             top = len(self.levels) - 1
             nodes = np.arange(len(self.levels[top][0]))
-            q, node, apart = np.repeat(who, len(nodes)), np.tile(nodes, len(who)), np.zeros(len(who) * len(nodes), dtype=np.int64)
+            q, node, sum_ = np.repeat(who, len(nodes)), np.tile(nodes, len(who)), np.zeros(len(who) * len(nodes), np.int64)
             for level in range(top, -1, -1):
                 if level < top:
-                    q, apart = np.repeat(q, FANOUT), np.repeat(apart, FANOUT)
+                    q, sum_ = np.repeat(q, FANOUT), np.repeat(sum_, FANOUT)
                     node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                     there = node < len(self.levels[level][0])
-                    q, node, apart = q[there], node[there], apart[there]
+                    q, node, sum_ = q[there], node[there], sum_[there]
                 mask, pattern = self.levels[level]
                 other = (low[level][node] != label[q]) | (high[level][node] != label[q])
-                q, node, apart = q[other], node[other], apart[other]
-                apart = apart + np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node])
-                close = apart <= radius
-                q, node, apart = q[close], node[close], apart[close]
+                q, node, sum_ = q[other], node[other], sum_[other]
+                sum_ = sum_ + apart(self.codes[q], pattern[node], mask[node])
+                close = sum_ <= radius
+                q, node, sum_ = q[close], node[close], sum_[close]
             label = join(label, q, node)
-        least = np.full(n, np.iinfo(np.int64).max)
-        signed = self.codes.view(np.int64)
-        np.minimum.at(least, label, signed)
-        return signed, least[label]
+        return label
 
     def _ranges(self, label: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         low, high = [label], [label]
@@ -153,88 +184,160 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _patterns(fp: Column, radius: int) -> Column:
-    """The masked patterns of a fingerprint: every two of radius + 2 blocks."""
-    n = radius + 2
-    edge = [64 * i // n for i in range(n + 1)]
-    masks = [sum(1 << bit for i in pair for bit in range(edge[i], edge[i + 1])) for pair in combinations(range(n), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*[F.struct(F.lit(i).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("pattern"), F.lit(-1).cast("long").alias("rest")) for i, m in enumerate(signed)])
+@dataclass(frozen=True)
+class Patterns:
+    """The masks of the top level, and for each the masks that factor it where it is crowded.
+    A mask has one integer for each word of a fingerprint."""
+
+    radius: int
+    width: int
+    masks: list[tuple[int, ...]]
+    finer: list[list[tuple[int, ...]]]
 
 
-def _factored(radius: int) -> Column:
-    """For a hot pattern: the blocks of all 64 bits cut in (radius + 1) * (radius + 2) parts
-    that two fingerprints can still share one of, named with their number."""
+def block_patterns(radius: int = RADIUS) -> Patterns:
+    """For 64 bits: every two of radius + 2 blocks, and then one of radius + 1 parts of the rest.
+    No pair within the radius is lost."""
     n = radius + 2
-    pairs = list(combinations(range(n), 2))
     edge = [64 * i // n for i in range(n + 1)]
-    choices = []
-    for pair in pairs:
+    masks, finer = [], []
+    for pair in combinations(range(n), 2):
         rest = [bit for i in range(n) if i not in pair for bit in range(edge[i], edge[i + 1])]
-        parts = [rest[len(rest) * j // (radius + 1) : len(rest) * (j + 1) // (radius + 1)] for j in range(radius + 1)]
-        value = lambda part: sum((F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1)) * F.lit(1 << k) for k, bit in enumerate(part)), F.lit(0).cast("long"))
-        choices.append(F.array(*[value(part) * F.lit(radius + 1) + F.lit(j) for j, part in enumerate(parts)]))
-    picked = F.when(F.col("mask") == 0, choices[0])
-    for i, choice in enumerate(choices[1:], 1):
-        picked = picked.when(F.col("mask") == i, choice)
-    return picked
+        masks.append((sum(1 << bit for i in pair for bit in range(edge[i], edge[i + 1])),))
+        finer.append([(sum(1 << bit for bit in rest[len(rest) * j // (radius + 1) : len(rest) * (j + 1) // (radius + 1)]),) for j in range(radius + 1)])
+    return Patterns(radius, 1, masks, finer)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which texts of that Jaccard similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float = 0.97) -> Patterns:
+    """For 64 * width bits and far pairs: masks of drawn bits, about as many bits as tell `rows`
+    fingerprints apart, and as many masks as meet a pair at the similarity with that probability."""
+    share, bits = differing(similarity), 64 * width
+    draw = random.Random(42)
 
+    def masks(chosen: int, missing: float) -> list[tuple[int, ...]]:
+        count = math.ceil(math.log(missing) / math.log1p(-((1 - share) ** chosen)))
+        made = []
+        for _ in range(count):
+            picked = draw.sample(range(bits), chosen)
+            made.append(tuple(sum(1 << b % 64 for b in picked if b // 64 == w) for w in range(width)))
+        return made
 
-def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) that connect fingerprints (column fp) just as all links within the radius do."""
+    top = masks(max(12, math.ceil(math.log2(max(rows, 2))) - 2), 1 - recall)
+    # Two standard deviations above the mean, so that pairs at the similarity are linked.
+    radius = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    return Patterns(radius, width, top, [masks(8, 0.001)] * len(top))
+
+
+def _keyed(masks: list[tuple[int, ...]]) -> Column:
+    """An array of each mask's number and a hash of the bits under it."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.struct(F.lit(i).alias("mask"), F.xxhash64(*[F.col(f).bitwiseAND(F.lit(signed(m))) for f, m in zip(_fields(len(mask)), mask, strict=True)]).alias("pattern")) for i, mask in enumerate(masks)])
+
+
+def links(distinct: DataFrame, patterns: Patterns, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) between ids that connect distinct (id, f0 ..) just as all links do that meet under a pattern."""
     ship(distinct.sparkSession)
-    put = distinct.select("fp", F.inline(_patterns(F.col("fp"), radius)))
+    fields, radius, width = _fields(patterns.width), patterns.radius, patterns.width
+    put = distinct.select("id", *fields, F.inline(_keyed(patterns.masks))).withColumn("rest", F.lit(-1).cast("long"))
     crowded = materialize(put.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "crowded")
     if crowded.limit(1).count():
-        split = put.join(crowded, ["mask", "pattern"]).select("fp", "mask", "pattern", F.explode(_factored(radius)).alias("rest"))
+        finer = [_keyed(masks) for masks in patterns.finer]
+        picked = finer[0]
+        if any(masks is not patterns.finer[0] for masks in patterns.finer):
+            picked = F
+            for i, choice in enumerate(finer):
+                picked = picked.when(F.col("mask") == i, choice)
+        inside = F.transform(picked, lambda p: F.xxhash64(p["mask"], p["pattern"]))
+        split = put.drop("rest").join(crowded, ["mask", "pattern"]).withColumn("rest", F.explode(inside))
         put = put.join(crowded, ["mask", "pattern"], "left_anti").unionByName(split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] = []
+        carry = np.empty((0, width + 4), np.int64)
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)] if carry else rows
-            new = np.flatnonzero((rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]) | (rows[3][1:] != rows[3][:-1])) + 1
+            rows = np.concatenate([carry, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+            new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             cut = new[-1] if len(new) else 0  # the last pattern may go on in the next batch
-            yield from _edges(rows[0][:cut], np.concatenate(([0], new[:-1])) if len(new) else new, radius)
-            carry = [r[cut:] for r in rows]
-        if carry:
-            yield from _edges(carry[0], np.array([0]), radius)
+            yield from _edges(rows[:cut, 3], rows[:cut, 4:], np.concatenate(([0], new[:-1])) if len(new) else new, radius)
+            carry = rows[cut:]
+        if len(carry):
+            yield from _edges(carry[:, 3], carry[:, 4:], np.array([0]), radius)
 
-    placed = put.repartition("mask", "pattern", "rest").sortWithinPartitions("mask", "pattern", "rest").select("fp", "mask", "pattern", "rest")
+    placed = put.repartition("mask", "pattern", "rest").sortWithinPartitions("mask", "pattern", "rest")
+    placed = placed.select(F.col("mask").cast("long").alias("mask"), "pattern", "rest", "id", *fields)
     return placed.mapInArrow(run, "a long, b long")
 
 
-def _edges(fp: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each run of fp that starts at one of starts."""
-    if not len(fp):
+def _edges(ids: np.ndarray, fields: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of rows that starts at one of starts."""
+    if not len(ids):
         return
-    codes = fp.astype(np.int64).view(np.uint64)
-    sizes = np.diff(np.append(starts, len(fp)))
+    codes = np.ascontiguousarray(fields).view(np.uint64)
+    sizes = np.diff(np.append(starts, len(ids)))
     run = np.repeat(np.arange(len(starts)), sizes)
     small = (sizes <= FANOUT)[run]
     a, b = [], []
     for lag in range(1, int(min(FANOUT, sizes.max()))):
         i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-        i = i[np.bitwise_count(codes[i] ^ codes[i + lag]) <= radius]
-        a.append(fp[i])
-        b.append(fp[i + lag])
+        i = i[apart(codes[i], codes[i + lag]) <= radius]
+        a.append(ids[i])
+        b.append(ids[i + lag])
     for k in np.flatnonzero(sizes > FANOUT):
-        own, least = GrayIndex(codes[starts[k] : starts[k] + sizes[k]]).forest(radius)
-        a.append(own[own != least])
-        b.append(least[own != least])
+        own, index = members(codes[starts[k] : starts[k] + sizes[k]], ids[starts[k] : starts[k] + sizes[k]])
+        head = own[index.forest(radius)]
+        a.append(own[own != head])
+        b.append(head[own != head])
     if a and sum(map(len, a)):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
 
+def members(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, GrayIndex]:
+    """The index over codes, and their ids in its order."""
+    index = GrayIndex(codes)
+    return ids[np.lexsort(gray_rank(codes).T[::-1])], index
+
+
+def groups(fps: DataFrame, patterns: Patterns) -> DataFrame:
+    """fps (key, r1, r2, f0 ..) with label, the smallest id of the component: ids are fingerprints
+    of one word, or 64-bit hashes of longer ones."""
+    fields = _fields(patterns.width)
+    named = fps.withColumn("id", F.col("f0") if patterns.width == 1 else F.xxhash64(*fields))
+    distinct = materialize(named.groupBy("id").agg(*[F.first(f).alias(f) for f in fields]), "distinct")
+    label = components(materialize(links(distinct, patterns), "links"))
+    return named.join(label, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node", "id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(key, fp, component) of every row; component is the smallest key of its component."""
+    """(key, fp, component) of every row by 64-bit fingerprints; component is the smallest key of its component."""
     fps = materialize(fingerprints(docs, key, text, words_in_shingle), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    label = components(materialize(links(distinct, radius), "links"))
-    whole = materialize(distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labels")
-    smallest = whole.groupBy("label").agg(F.min("first").alias("component"))
-    return fps.join(whole.join(smallest, "label").select("fp", "component"), "fp").select("key", "fp", "component")
+    found = materialize(groups(fps, block_patterns(radius)).select("key", F.col("f0").alias("fp"), "label"), "labels")
+    smallest = found.groupBy("label").agg(F.min("key").alias("component"))
+    return found.join(smallest, "label").select("key", "fp", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate group, the one with the smallest key (nulls last).
+
+    Texts are alike from the stated similarity of their shingle sets on, as
+    fingerprints of 64 * width bits tell it. Other columns pass through.
+    """
+    fps = materialize(fingerprints(docs, key, text, words_in_shingle, width, repeats=False), "fingerprints")
+    rows = fps.agg(F.approx_count_distinct(F.xxhash64(*_fields(width)), 0.02)).first()[0]
+    found = groups(fps, sampled_patterns(rows, similarity, width))
+    chosen = found.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")).alias("best"))
+    chosen = materialize(chosen.select(F.col("best.r1").alias("r1"), F.col("best.r2").alias("r2")), "kept")
+    own, t = column(docs, key), column(docs, text)
+    a, b, c, d, n = (unused(docs, x) for x in ("r1", "r2", "kept_r1", "kept_r2", "copy"))
+    with_key = docs.withColumn(a, F.xxhash64(own)).withColumn(b, text_key(t))
+    chosen = chosen.select(F.col("r1").alias(c), F.col("r2").alias(d))
+    kept = with_key.join(chosen, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left_semi")
+    if fps.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():  # repeated rows: one stays
+        kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(a, b).orderBy(a))).where(F.col(n) == 1)
+    return kept.select(*[column(kept, c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,10 +131,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark window, columns unchanged."""
     bad = contamination(docs, items, key, text).where("contaminated").select("doc_id", "th").distinct()
-    th = unused(docs, "th")
+    th, bad_id, bad_th = (unused(docs, x) for x in ("th", "bad_id", "bad_th"))
     with_key = docs.withColumn(th, text_key(column(docs, text)))
-    bad = bad.select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th"))
-    kept = with_key.join(bad, column(with_key, key).eqNullSafe(F.col("__bad_id")) & (F.col(th) == F.col("__bad_th")), "left_anti")
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th))
+    kept = with_key.join(bad, column(with_key, key).eqNullSafe(F.col(bad_id)) & (F.col(th) == F.col(bad_th)), "left_anti")
     return kept.select(*[column(kept, c) for c in docs.columns])
 
 
