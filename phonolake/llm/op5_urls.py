@@ -80,9 +80,16 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 300, rate: float = 4.0, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled (url, label), label 1 for block: full-batch descent with momentum."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    taken = labelled.select("url", "label", grams(host, path).alias("grams")).orderBy(F.xxhash64("url"), "url", "label").limit(rows).select("label", "grams").collect()
+    """Weights and bias from labelled (url, label), label 1 for block: full-batch descent with momentum.
+
+    A count sets the hash below which urls can be among the lowest `rows`, so that
+    tasks hand on a few times that many at most.
+    """
+    total = labelled.count()
+    if total > 4 * rows:
+        labelled = labelled.where(F.xxhash64("url") < -(1 << 63) + (1 << 64) * 4 * rows // total)
+    taken = labelled.select("url", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(rows)
+    taken = taken.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams")).collect()
     y = np.array([float(r.label) for r in taken])
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), -1.0
