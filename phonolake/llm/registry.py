@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phonolake.llm import op1_suffix_dedup, op2_simhash, op3_packing, op4_secrets, op5_urls, op6_sharding, op7_decontaminate, op8_warc, op10_quality
+from phonolake.llm import op1_suffix_dedup, op2_simhash, op3_packing, op4_secrets, op5_urls, op6_sharding, op7_decontaminate, op8_warc, op9_paragraphs, op10_quality
 
 _MODULES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -13,6 +13,7 @@ _MODULES = {
     "op6_sharding": op6_sharding,
     "op7_benchmark_decontamination": op7_decontaminate,
     "op8_warc": op8_warc,
+    "op9_paragraph_dedup": op9_paragraphs,
     "op10_quality_rules": op10_quality,
 }
 

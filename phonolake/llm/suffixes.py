@@ -42,16 +42,34 @@ class Powers:
 _POWERS = Powers()
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of symbols[a:b] for each pair of starts and ends; symbols are 64-bit already."""
+    up, down = _POWERS.get(len(symbols) + 1)
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k-byte string of data, by its place."""
     up, down = _POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_SYMBOLS[data] * up[:-1], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: len(data) - k + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h
+    return mixed((sums[k:] - sums[:-k]) * down[: len(data) - k + 1])
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs without ASCII white space, A-Z as a-z."""
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    gap = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    return starts, ends, span_hashes(_SYMBOLS[data], starts, ends)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
