@@ -45,7 +45,7 @@ BATCH_BYTES = 1 << 22
 _COUNT_BITS = 10
 
 
-def _texts(batches: Iterator[pa.RecordBatch], field: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def texts_of(batches: Iterator[pa.RecordBatch], field: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of batches with about BATCH_BYTES of text, and those texts as bytes."""
     for batch in batches:
         texts = batch.column(field).cast(pa.binary())
@@ -61,7 +61,7 @@ def blocks(rows: DataFrame, length: int) -> DataFrame:
     """(r1, r2, anchor, digest, place) of every window block of rows (r1, r2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 2):
+        for part, texts in texts_of(batches, 2):
             ends = np.cumsum([len(t) for t in texts])
             starts, count, anchor, digest = window_blocks(np.frombuffer(b"".join(texts), np.uint8), ends, length)
             row = np.searchsorted(ends, starts, "right")
@@ -107,39 +107,41 @@ class Shard:
         return block[at], inside[at], group, np.bincount(group)[group]
 
     def rows_out(self) -> Iterator[dict]:
-        """Repeated windows of blocks that occur once; for dealt anchors, a digest for each group."""
+        """Runs of repeated windows in blocks that occur once; for dealt anchors, runs of one window of
+        each group with the windows' digests."""
         block, inside, group, size = self.shared()
         if not len(block):
             return
         once = np.array([r[6] == 1 for r in self.rows])
         dealt = np.array([r[7] > 1 for r in self.rows])
         own = np.flatnonzero(once[block] & (size > 1))
-        yield from _spans([self.rows[b][2:4] for b in range(len(self.rows))], np.array([r[4] >> _COUNT_BITS for r in self.rows]), block[own], inside[own])
+        for b, start, count in _runs(block[own], inside[own]):
+            yield self._span(b, start, count, None, True)
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         sure = np.logical_or.reduceat(~once[block] | (size > 1), first)
-        for i, repeats in zip(first.tolist(), sure.tolist(), strict=True):
-            b = block[i]
-            if dealt[b]:
-                _, _, r1, r2, place, _, _, _, text = self.rows[b]
-                start = int(inside[i])
-                digest = xxhash.xxh3_128_digest(text[start : start + self.length])
-                yield {"r1": r1, "r2": r2, "start": (place >> _COUNT_BITS) + start, "count": 1, "window": digest, "sure": repeats}
+        for known in (False, True):
+            at = first[(sure == known) & dealt[block[first]]]
+            for b, start, count in _runs(block[at], inside[at]):
+                text = self.rows[b][-1]
+                digests = b"".join(xxhash.xxh3_128_digest(text[i : i + self.length]) for i in range(start, start + count))
+                yield self._span(b, start, count, digests, known)
 
+    def _span(self, b: int, start: int, count: int, windows: bytes | None, sure: bool) -> dict:
+        _, _, r1, r2, place = self.rows[b][:5]
+        return {"r1": r1, "r2": r2, "start": (place >> _COUNT_BITS) + start, "count": count, "windows": windows, "sure": sure}
 
-def _spans(rows: list[tuple], shift: np.ndarray, block: np.ndarray, inside: np.ndarray) -> Iterator[dict]:
-    """Runs of neighbouring windows, as places in their texts."""
-    order = np.lexsort((inside, block))
-    block, inside = block[order], inside[order]
+
+def _runs(block: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(block, first place, number) of neighbouring windows."""
     if not len(block):
         return
+    order = np.lexsort((inside, block))
+    block, inside = block[order], inside[order]
     new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (inside[1:] != inside[:-1] + 1))))
-    count = np.diff(np.append(new, len(block)))
-    for i, n in zip(new.tolist(), count.tolist(), strict=True):
-        r1, r2 = rows[block[i]]
-        yield {"r1": r1, "r2": r2, "start": int(shift[block[i]] + inside[i]), "count": n, "window": None, "sure": True}
+    yield from zip(block[new].tolist(), inside[new].tolist(), np.diff(np.append(new, len(block))).tolist(), strict=True)
 
 
-_SHARED = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("window", pa.binary()), ("sure", pa.bool_())])
+_SHARED = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("windows", pa.binary()), ("sure", pa.bool_())])
 
 
 def shared_windows(held: DataFrame, length: int) -> DataFrame:
@@ -162,7 +164,7 @@ def shared_windows(held: DataFrame, length: int) -> DataFrame:
                 shard.add(row)
         yield from flush()
 
-    return held.mapInArrow(run, "r1 long, r2 long, start long, count long, window binary, sure boolean")
+    return held.mapInArrow(run, "r1 long, r2 long, start long, count long, windows binary, sure boolean")
 
 
 def merged(digests: DataFrame) -> DataFrame:
@@ -189,14 +191,20 @@ def merged(digests: DataFrame) -> DataFrame:
         found = t.filter(pa.array((fellows > 1) & ~np.array(t["sure"], dtype=bool))) if len(w) else t
         yield from found.select(["r1", "r2", "start", "count"]).combine_chunks().to_batches()
 
-    return digests.repartition("window").sortWithinPartitions("window").mapInArrow(run, "r1 long, r2 long, start long, count long")
+    spread = digests.repartition(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = F.transform(F.sequence(F.lit(0), F.col("count").cast("int") - 1), lambda i: F.substring(F.col("windows"), i * 16 + 1, F.lit(16)))
+    each = spread.select("r1", "r2", "start", "sure", F.posexplode(each).alias("i", "window"))
+    each = each.select("r1", "r2", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("count"), "window", "sure")
+    return each.repartition("window").sortWithinPartitions("window").mapInArrow(run, "r1 long, r2 long, start long, count long")
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """(r1, r2, start, count): runs of windows of docs (r1, r2, text) that occur elsewhere too."""
     every = materialize(blocks(docs, length), "blocks")
     shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
-    found = materialize(every.join(shared.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "shared")
+    # A table of its own, so that the join below may split a crowded anchor.
+    shared = materialize(shared.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
+    found = materialize(every.join(shared, "anchor"), "shared")
     counts = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "place")).alias("at"), F.first("mixed").alias("mixed"))
     counts = materialize(counts, "counts")
     again = found.select("r1", "r2", "place", "anchor", "digest").join(counts.where("n > 1").select("anchor", "digest"), ["anchor", "digest"])
@@ -227,8 +235,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     held = docs.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "blocks").mapInArrow(cut, "anchor long, deal long, r1 long, r2 long, place long, digest long, n long, deals long, text binary")
     held = held.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "digest")
     shards = materialize(shared_windows(held, length), "windows")
-    inside = shards.where("window IS NULL").select("r1", "r2", "start", "count")
-    return sure.union(inside).union(merged(shards.where("window IS NOT NULL")))
+    inside = shards.where("windows IS NULL").select("r1", "r2", "start", "count")
+    return sure.union(inside).union(merged(shards.where("windows IS NOT NULL")))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +249,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 1):
+        for part, texts in texts_of(batches, 1):
             made = [_kept(data, held.as_py() or [], length) for data, held in zip(texts, part.column(2), strict=True)]
             sizes = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([m[0] for m in made], spans), pa.array([m[1] for m in made], pa.string())], names=["doc_id", "n_bytes", "spans", "kept_sha256"])
