@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.operators import segments, statistics
-from phonolake.plans import queries
+from phonolake.plans import queries, recordings
 
-QUERIES = queries.QUERIES
+QUERIES = queries.QUERIES | recordings.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL
 
 
