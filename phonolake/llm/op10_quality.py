@@ -166,11 +166,18 @@ def cascade(text: Column, words: Column, order: list[str], rules: tuple[Rule, ..
     return verdict.otherwise(F.lit(None).cast("string"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that a generator makes, one row for each: filters on it stay above it, where
+    the optimizer would otherwise copy the whole expression into them, several times."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def judge(docs: DataFrame, text: str = "text", out: str = "rejected_by", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> DataFrame:
     """docs with one more column: the rule that rejects the row, null if it is kept."""
     order = [e.name for e in estimate(docs, text, rules, sample_rows)]
     w = unused(docs, "words")
-    return docs.withColumn(w, words_of(column(docs, text))).withColumn(out, cascade(column(docs, text), F.col(w), order, rules)).drop(w)
+    worded = once(docs, w, words_of(column(docs, text)))
+    return once(worded, out, cascade(column(worded, text), F.col(w), order, rules)).drop(w)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
