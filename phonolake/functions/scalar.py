@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,9 @@ def storage_name(name: Column) -> Column:
 def redacted_path(path: Column) -> Column:
     """Only the last part, after an ellipsis."""
     return F.concat(F.lit("…/"), F.substring_index(path, "/", -1))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that a generator makes, one row for each, so that the optimizer does not copy
+    their expressions into each place that reads them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

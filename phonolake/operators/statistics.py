@@ -39,13 +39,13 @@ def reference_ranges(table: DataFrame, metric: str = "") -> DataFrame:
 
 
 def graded(values: DataFrame, table: DataFrame, metric: str, value: str) -> DataFrame:
-    """values (with metric and value columns) and the band they fall in, `out` if none; the narrowest
-    reading wins where bands touch: typical before borderline."""
-    bands = F.broadcast(table.select(F.col("metric").alias("__m"), "band", "lo", "hi"))  # the norm table: a few rows
-    on = (F.col(metric) == F.col("__m")) & F.col(value).between(F.col("lo"), F.col("hi"))
-    joined = values.join(bands, on, "left")
-    best = F.min(F.struct((F.col("band") != "typical").alias("late"), "band"))["band"]
-    return joined.groupBy(*values.columns).agg(F.coalesce(best, F.lit("out")).alias("grade"))
+    """values (with metric and value columns) and the band they fall in, `out` if none; where bands
+    touch, typical comes before borderline. Each metric's bands are one row, so no row multiplies."""
+    band = F.struct((F.col("band") != "typical").alias("late"), "band", "lo", "hi")
+    bands = table.groupBy(F.col("metric").alias("__m")).agg(F.array_sort(F.collect_list(band)).alias("__bands"))
+    joined = values.join(F.broadcast(bands), F.col(metric) == F.col("__m"), "left")  # a row for each of a handful of metrics
+    hit = F.filter("__bands", lambda b: F.col(value).between(b["lo"], b["hi"]))
+    return joined.select(*values.columns, F.coalesce(F.get(hit, F.lit(0))["band"], F.lit("out")).alias("grade"))
 
 
 def pitch_summary(frames: DataFrame, by: list[str], f0: str, voiced: Column) -> DataFrame:
@@ -161,7 +161,7 @@ def metric_differences(a: DataFrame, b: DataFrame, metrics: dict[str, str]) -> D
 def nearest(a: DataFrame, b: DataFrame, by: list[str], at: str, within: float, tie: str | None = None) -> DataFrame:
     """Each row of a with the row of b nearest in time, not further than `within`; the later one of
     two as near. Times fall into buckets as wide as the tolerance, and b's rows stand in three, so the
-    join is by equality."""
+    join is by equality. Rows of a are told apart by their columns."""
     width = F.lit(within)
     left = a.withColumn("__bucket", F.floor(F.col(at) / width))
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.explode(F.array(*[F.floor(F.col(at) / width) + k for k in (-1, 0, 1)])).alias("__b_bucket"))

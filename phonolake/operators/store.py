@@ -6,6 +6,10 @@ aggregation or an anti join.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,17 +104,26 @@ def in_window(events: DataFrame, by: list[str], at: str, seconds: float) -> Data
 
 
 def accepted(events: DataFrame, by: list[str], at: str, limit: int, seconds: float) -> DataFrame:
-    """Which events a limiter lets pass when refused ones do not count: by, at, ok. The fold keeps only
-    accepted times inside the window, `limit` at most."""
-    times = F.array_sort(F.collect_list(at))
-    recent = lambda acc, t: F.filter(acc["held"], lambda h: t - h <= seconds)
-    start = F.struct(F.array().cast("array<double>").alias("held"), F.array().cast("array<boolean>").alias("ok"))
-    step = lambda acc, t: F.struct(
-        F.when(F.size(recent(acc, t)) < limit, F.concat(recent(acc, t), F.array(t))).otherwise(recent(acc, t)).alias("held"),
-        F.concat(acc["ok"], F.array(F.size(recent(acc, t)) < limit)).alias("ok"),
-    )
-    folded = events.groupBy(*by).agg(times.alias("times")).withColumn("ok", F.aggregate("times", start, step, lambda acc: acc["ok"]))
-    return folded.select(*by, F.explode(F.arrays_zip("times", "ok")).alias("e")).select(*by, F.col("e.times").alias(at), F.col("e.ok").alias("ok"))
+    """Which events a limiter lets pass when refused ones do not count: by, at, ok. Each verdict depends
+    on those before it, so keys stream through in order; what is held is a window's accepted times."""
+    keyed = events.select(*by, F.col(at).cast("double").alias(at))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, deque()
+        for batch in batches:
+            verdicts = []
+            for *own, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    key, held = own, deque()
+                while held and t - held[0] > seconds:
+                    held.popleft()
+                verdicts.append(len(held) < limit)
+                if verdicts[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.bool_())], names=[*batch.schema.names, "ok"])
+
+    return keyed.repartition(*by).sortWithinPartitions(*by, at).mapInArrow(run, f"{kinds}, ok boolean")
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], size: str, quota: int) -> DataFrame:

@@ -579,18 +579,19 @@ def speaker_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cosine_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, K3: unit vectors against the centroids of the labels, and each one's silhouette."""
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("raw"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
-    e = e.withColumn("m", mean).withColumn("x", F.transform("x", lambda v: v - F.col("m")))
-    e = e.withColumn("z", F.greatest(F.sqrt(dot(F.col("x"), F.col("x"))), F.lit(1e-10))).withColumn("x", F.transform("x", lambda v: v / F.col("z"))).drop("m", "z")
-    cents = e.select("label", F.posexplode("x")).groupBy("label", "pos").agg(F.avg("col").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda p: p["c"]).alias("c"))
+    e = scalar.computed_once(e, m=F.aggregate("raw", F.lit(0.0), lambda s, v: s + v) / F.size("raw"))
+    e = scalar.computed_once(e, c=F.transform("raw", lambda v: v - F.col("m")))
+    e = scalar.computed_once(e, z=F.greatest(F.sqrt(dot(F.col("c"), F.col("c"))), F.lit(1e-10)))
+    e = scalar.computed_once(e, x=F.transform("c", lambda v: v / F.col("z"))).select("vec_id", "label", "x")
+    means = e.select("label", F.posexplode("x")).groupBy("label", "pos").agg(F.avg("col").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda p: p["c"]).alias("c"))
     # Labels are few: one row of 64 numbers each, gathered as one array for every vector.
-    every = cents.agg(F.collect_list(F.struct("label", "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("z"))).alias("all"))
-    d = e.crossJoin(F.broadcast(every)).select("vec_id", "label", F.transform("all", lambda k: F.struct(k["label"].alias("l"), (1 - dot(F.col("x"), k["c"]) / k["z"]).alias("d"))).alias("d"))
+    every = means.agg(F.collect_list(F.struct("label", "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("z"))).alias("all"))
+    d = scalar.computed_once(e.crossJoin(F.broadcast(every)), d=F.transform("all", lambda k: F.struct(k["label"].alias("l"), (1 - dot(F.col("x"), k["c"]) / k["z"]).alias("d"))))
     own = F.element_at(F.filter("d", lambda k: k["l"] == F.col("label")), 1)["d"]
     other = F.array_min(F.transform(F.filter("d", lambda k: k["l"] != F.col("label")), lambda k: k["d"]))
-    out = d.select(F.col("vec_id").alias("rec"), own.alias("own"), other.alias("other"))
+    out = scalar.computed_once(d, own=own, other=other).select(F.col("vec_id").alias("rec"), "own", "other")
     return _r(out.withColumn("silhouette", (F.col("other") - F.col("own")) / F.greatest("other", "own", F.lit(1e-10))), "own", "other", "silhouette", places=5)
 
 
@@ -607,8 +608,12 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def syllable_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q7, Q8: peaks of the smoothed envelope, 0.12 s apart, and the articulation rate."""
-    g = _gated(spark).select("rec", F.col("frame").alias("i"), F.pow(F.lit(10.0), F.col("db") / 20).alias("x"), "speech")
+    """Q7, Q8: peaks of the smoothed envelope, 0.12 s apart, and the articulation rate, of a tone that
+    swells four times a second."""
+    beat = F.abs(F.sin(F.lit(3.141592653589793 * 4 / 16000) * F.col("i")))
+    power = signal.frame_power(signal.framed(_tone(spark, 48000, beat * _sine(0.5, 150.0)), 48000, 400, 160)).withColumn("db", scalar.db(F.col("power")))
+    g = power.withColumn("speech", F.col("db") > F.max("db").over(Window.partitionBy("rec")) - 32)
+    g = g.select("rec", F.col("frame").alias("i"), F.pow(F.lit(10.0), F.col("db") / 20).alias("x"), "speech")
     s = signal.hann_smoothed(g, 5).drop("x").withColumnRenamed("y", "x")
     w = Window.partitionBy("rec").orderBy("i")
     s = signal.prominence(s).withColumn("before", F.lag("x").over(w)).withColumn("after", F.lead("x").over(w)).withColumn("top", F.max("x").over(Window.partitionBy("rec")))
