@@ -43,7 +43,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/phonolake/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def release(made: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, once all that reads it is written itself."""
+    spark, path = made.sparkSession, made._written_to
+    _delete(spark, path)
+    _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -57,9 +71,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already; the folder is scratch space
             return
 

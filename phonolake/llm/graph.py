@@ -33,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last:
             break
         last = mark
-    return star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    # A table of its own, so that joins with it may split a crowded node.
+    return materialize(star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "components")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import column, materialize, ship, table, text_key
+from phonolake.llm.common import column, materialize, release, ship, table, text_key
 from phonolake.llm.graph import components
 from phonolake.llm.op1_suffix_dedup import texts_of
 from phonolake.llm.suffixes import mixed, sliding_min, span_hashes, word_hashes
@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 SPLIT = 4096
 #: Low bits of a key that hold a place; texts over 2**27 words are refused.
 _PLACE = np.uint64(27)
+#: A window's first byte and its length share a long.
+_LENGTH_BITS = 28
 
 
 def paragraphs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,18 +91,21 @@ def _anchors(shingles: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, r2, first, stop, band, digest) of every paragraph window of rows (doc_id, r2, text); places in bytes."""
+    """(doc_id, r2, place, band, digest) of every paragraph window of rows (doc_id, r2, text); place
+    has the first byte and the number of bytes."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches, 2):
             ends = np.cumsum([len(t) + 1 for t in texts])
             doc, first, stop, band, digest = paragraphs(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), ends)
-            shift = np.concatenate(([0], ends))[doc]
+            if len(doc) and (stop - first).max() >= 1 << _LENGTH_BITS:
+                raise ValueError("25 words of 256 MB or more")
+            place = first - np.concatenate(([0], ends))[doc] << _LENGTH_BITS | stop - first
             ids = [part.column(i).take(pa.array(doc)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(np.ascontiguousarray(c)) for c in (first - shift, stop - shift, band, digest))], names=["doc_id", "r2", "first", "stop", "band", "digest"])
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(np.ascontiguousarray(c)) for c in (place, band, digest))], names=["doc_id", "r2", "place", "band", "digest"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, r2 long, first long, stop long, band long, digest long")
+    return rows.mapInArrow(run, f"doc_id {kind}, r2 long, place long, band long, digest long")
 
 
 def shingle_set(text: bytes) -> frozenset[bytes]:
@@ -150,12 +155,13 @@ def links(held: DataFrame, similarity: float) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(band, deals, digest, text) of wanted windows (r1, r2, first, stop, band, deals, digest)."""
-    grouped = wanted.select("r1", "r2", F.struct("first", "stop", "band", "deals", "digest").alias("w")).groupBy("r1", "r2").agg(F.collect_set("w").alias("held"))
+    """(band, deals, digest, text) of wanted windows (r1, r2, place, band, deals, digest)."""
+    grouped = wanted.select("r1", "r2", F.struct("place", "band", "deals", "digest").alias("w")).groupBy("r1", "r2").agg(F.collect_set("w").alias("held"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches, 0):
-            out = [(w["band"], w["deals"], w["digest"], data[w["first"] : w["stop"]]) for data, held in zip(texts, part.column(1).to_pylist(), strict=True) for w in held]
+            span = lambda p: slice(p >> _LENGTH_BITS, (p >> _LENGTH_BITS) + (p & (1 << _LENGTH_BITS) - 1))
+            out = [(w["band"], w["deals"], w["digest"], data[span(w["place"])]) for data, held in zip(texts, part.column(1).to_pylist(), strict=True) for w in held]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["band", "deals", "digest", "text"])
 
@@ -173,17 +179,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
     shared = materialize(shared.select("band", (F.col("low") != F.col("high")).alias("mixed")), "bands")
     found = materialize(every.join(shared, "band"), "shared")
-    one = found.where("mixed").groupBy("band", "digest").agg(F.min(F.struct(F.xxhash64("doc_id").alias("r1"), "r2", "first", "stop")).alias("at"))
+    release(every)
+    one = found.where("mixed").groupBy("band", "digest").agg(F.min(F.struct(F.xxhash64("doc_id").alias("r1"), "r2", "place")).alias("at"))
     one = materialize(one, "distinct")
     kinds = one.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("deals"))
     label = components(materialize(links(_texts(rows, one.join(kinds, "band").select("band", "deals", "digest", "at.*")), similarity), "links"))
     labels = found.join(label, F.col("digest") == F.col("node"), "left")
-    placed = labels.select("doc_id", "r2", F.col("first").alias("start"), F.col("stop").alias("end"), F.coalesce("label", "digest").alias("class_id"))
-    placed = materialize(placed, "classes")
+    placed = materialize(labels.select("doc_id", "r2", "place", F.coalesce("label", "digest").alias("class_id")), "classes")
+    release(found)
     spread = placed.groupBy("class_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "r2") for f, n in ((F.min, "min"), (F.max, "max"))])
     spread = spread.where("min_doc_id <> max_doc_id OR min_r2 <> max_r2").select("class_id", F.col("min_doc_id").alias("kept_in"))
     spread = materialize(spread, "spread")
-    return placed.join(spread, "class_id").select("doc_id", "r2", "start", "end", "class_id", "kept_in", (~F.col("doc_id").eqNullSafe(F.col("kept_in"))).alias("removed"))
+    start = F.shiftright("place", _LENGTH_BITS)
+    end = start + F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+    return placed.join(spread, "class_id").select("doc_id", "r2", start.alias("start"), end.alias("end"), "class_id", "kept_in", (~F.col("doc_id").eqNullSafe(F.col("kept_in"))).alias("removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
