@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phonolake.functions.scalar import db, ratio
@@ -214,6 +214,20 @@ class AcousticEngine:
 
         return _rows(recs, _struct(path=_S, frame=pa.int32(), t_s=_D, energy=_D, voiced=_B, F1=_D, F2=_D, F3=_D), make)
 
+    def formant_track(self, frames_: DataFrame, points: int = 200) -> DataFrame:
+        """Every n-th formant frame of a recording, so that about `points` stay; unvoiced ones are null."""
+        n = F.count(F.lit(1)).over(Window.partitionBy("path"))
+        kept = frames_.withColumn("__step", F.greatest(F.lit(1), F.floor(n / points))).where(F.col("frame") % F.col("__step") == 0)
+        return kept.select("path", F.round("t_s", 3).alias("t_s"), *[F.when(F.col("voiced"), F.round(f, 1)).alias(f) for f in ("F1", "F2", "F3")])
+
+    def log_bands(self, recs: DataFrame) -> DataFrame:
+        """(path, frame, bands): log amplitudes in 20 geometric bands."""
+
+        def make(path: str, x: np.ndarray, rate: int) -> list[dict]:
+            return [{"path": path, "frame": i, "bands": b} for i, b in enumerate(frames.log_bands(x, rate).tolist())]
+
+        return _rows(recs, _struct(path=_S, frame=pa.int32(), bands=pa.list_(_D)), make)
+
     def diarize(self, recs: DataFrame, n_speakers: int = 2, max_speakers: int = 4, min_turn_s: float = 0.4) -> DataFrame:
         """(path, n_speakers, turns, speaking_time_s, note)."""
 

@@ -44,6 +44,22 @@ def hop_samples(rate: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(rate * F.lit(0.010), 0).cast("int"))
 
 
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two positive integers, by Euclid's steps: 64 are enough for longs."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(F.struct(acc["b"].alias("a"), F.pmod(acc["a"], F.greatest(acc["b"], F.lit(1).cast("long"))).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda acc: acc["a"])
+
+
+def formant_rate(rate: Column, ceiling: float) -> Column:
+    """The rate at which formants are measured: twice the ceiling where an exact factor is cheap, else
+    the nearest whole decimation at most 2 % above; lower rates stay."""
+    target = round(2 * ceiling)
+    up = F.lit(target) / gcd(rate, F.lit(target))
+    down = F.greatest(F.lit(1.0), F.bround(rate / F.lit(2.0 * ceiling), 0), F.ceil(rate / F.lit(2.04 * ceiling)))
+    return F.when(rate <= 2 * ceiling, rate).when(up <= 64, F.lit(target)).otherwise(F.floor(rate / down)).cast("int")
+
+
 def frame_time(k: Column, hop: int, length: int, rate: float) -> Column:
     """Seconds of frame k's centre; odd lengths sit half a sample late."""
     return (k * F.lit(float(hop)) + F.lit(length / 2 - length // 2)) / F.lit(float(rate))

@@ -246,6 +246,15 @@ def frame_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("rate", scalar.frame_samples(F.col("rate")).alias("frame"), scalar.hop_samples(F.col("rate")).alias("hop"))
 
 
+@query(
+    f"SELECT CAST(r AS INT) AS rate, CAST(CASE WHEN r <= 11000 THEN r WHEN 11000 // gcd(r, 11000) <= 64 THEN 11000 ELSE r // CAST(greatest(1, round_even(r / 11000.0::DOUBLE, 0), ceil(r / 11220.0::DOUBLE)) AS BIGINT) END AS INT) AS formant_rate FROM (SELECT unnest([{_RATES[1:-1]}, 32000, 96000]) AS r)"
+)
+def formant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of formant analysis by sample rate."""
+    r = spark.createDataFrame([(int(x),) for x in [*_RATES[1:-1].split(","), "32000", "96000"]], "rate int")
+    return r.select("rate", scalar.formant_rate(F.col("rate"), 5500.0).alias("formant_rate"))
+
+
 _USER_ISLANDS = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), m AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m), g AS (SELECT user_id, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM k GROUP BY user_id, island HAVING max(t) - min(t) >= 60000000)"
 
 

@@ -62,6 +62,20 @@ def lpc_formants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.formant_summary(half, ["path"], ["F1", "F2", "F3"])
 
 
+@query()
+def formant_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formants along each recording, thinned for a plot."""
+    engine, v = _voices(spark)
+    return engine.formant_track(engine.formant_frames(v), 20)
+
+
+@query()
+def log_band_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band levels by frame."""
+    engine, v = _voices(spark)
+    return engine.log_bands(v)
+
+
 @query()
 def spectrogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: pooled levels by frequency and time."""

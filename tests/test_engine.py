@@ -76,6 +76,16 @@ def test_stream_reads_each_file_once(spark, folder, tmp_path):
     assert spark.read.parquet(out).count() == spark.read.parquet(out).select("path").distinct().count() > 0
 
 
+def test_calls_in_sliding_windows(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = ingest.calls(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "at", "user_id", 3600, 1800)
+    q = stream.writeStream.format("memory").queryName("calls").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = events.groupBy(F.window("at", "3600 seconds", "1800 seconds"), "user_id").count()
+    assert sorted((r.window.start, r.user_id, r.calls) for r in spark.table("calls").collect()) == sorted((r.window.start, r.user_id, r["count"]) for r in want.collect())
+
+
 def test_greedy_limit_ignores_refused_calls(spark):
     calls = spark.createDataFrame([("u", float(t)) for t in (0, 1, 2, 3, 60, 61, 62)], "k string, t double")
     got = sorted(store.accepted(calls, ["k"], "t", 2, 60.0).collect(), key=lambda r: r.t)

@@ -44,3 +44,14 @@ def test_queries_are_the_same_over_many_partitions(spark):
         assert run() == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_formant_rates_agree_with_the_kernel(spark):
+    from pyspark.sql import functions as F
+
+    from phonolake.functions.scalar import formant_rate
+    from phonolake.kernels.audio import formant_rate as factors
+
+    for r in spark.range(8000, 100_000, 379).select("id", formant_rate(F.col("id").cast("int"), 5500.0).alias("f")).collect():
+        up, down = factors(r.id, 5500.0)
+        assert r.f == r.id * up // down, r.id
