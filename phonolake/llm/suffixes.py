@@ -64,12 +64,28 @@ def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the runs without ASCII white space, A-Z as a-z."""
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    gap = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.flatnonzero(~gap[:-1] & gap[1:])
-    return starts, ends, span_hashes(_SYMBOLS[data], starts, ends)
+    """Starts, ends and hashes of the runs without ASCII white space, A-Z as a-z. Works through
+    about CHUNK bytes at a time, cut between words."""
+    found, low = [], 0
+    while low < len(data):
+        high = low + CHUNK
+        while high < len(data) and not (gaps := _gap(data[high : high + CHUNK])).any():
+            high += CHUNK
+        high = high + int(np.argmax(gaps)) if high < len(data) else len(data)
+        part = data[low:high]
+        part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        gap = np.concatenate(([True], _gap(part), [True]))
+        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        found.append((starts + low, ends + low, span_hashes(_SYMBOLS[part], starts, ends)))
+        low = high
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none.view(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _gap(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from phonolake.llm import op6_sharding as op6
 from phonolake.llm import op7_decontaminate as op7
 from phonolake.llm import op9_paragraphs as op9
 from phonolake.llm import op10_quality as op10
-from phonolake.llm import tokens
+from phonolake.llm import suffixes, tokens
 from phonolake.llm.common import repeated
 from phonolake.llm.graph import components
 
@@ -303,6 +303,28 @@ def test_decontamination_over_awkward_rows(spark, docs, rows, empty):
 # --- op9
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 18])
+def test_words_are_hashed_alike_in_any_chunk(monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    for data in (b"", b" ", b"x" * 300, b"\t".join(b"Ab%d cd" % (i % 50) for i in range(400)) + b" " * 90):
+        starts, ends, hashes = suffixes.word_hashes(np.frombuffer(data, np.uint8))
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [w[:2] for w in words]
+        assert len(set(hashes.tolist())) == len({w[2] for w in words}) == len({(h, w[2]) for h, w in zip(hashes.tolist(), words, strict=True)})
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 400])
+def test_suffix_arrays(n):
+    rng = np.random.default_rng(n)
+    s = rng.integers(1, 3, n).astype(np.uint16)
+    key, depth = suffixes.packed(s, 9)
+    sa = suffixes.suffix_array(key, depth)
+    text = s.tolist()
+    assert sa.tolist() == sorted(range(n), key=lambda i: text[i:])
+    common = lambda a, b: next((k for k in range(n) if max(a, b) + k >= n or text[a + k] != text[b + k]), n)
+    assert suffixes.common_prefixes(s, key, depth, sa).tolist() == [0] + [common(a, b) for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)]
+
+
 @pytest.mark.parametrize("split", [4096, 1])
 def test_paragraphs(docs, rows, empty, monkeypatch, split):
     monkeypatch.setattr(op9, "SPLIT", split)
