@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import column, materialize, ship, table, text_key
+from phonolake.llm.common import column, materialize, release, ship, table, text_key
 from phonolake.llm.suffixes import common_prefixes, packed, suffix_array, window_blocks
 
 LENGTH = 400
@@ -205,6 +205,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     # A table of its own, so that the join below may split a crowded anchor.
     shared = materialize(shared.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     found = materialize(every.join(shared, "anchor"), "shared")
+    release(every)
     counts = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "place")).alias("at"), F.first("mixed").alias("mixed"))
     counts = materialize(counts, "counts")
     again = found.select("r1", "r2", "place", "anchor", "digest").join(counts.where("n > 1").select("anchor", "digest"), ["anchor", "digest"])
@@ -236,7 +237,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     held = held.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "digest")
     shards = materialize(shared_windows(held, length), "windows")
     inside = shards.where("windows IS NULL").select("r1", "r2", "start", "count")
-    return sure.union(inside).union(merged(shards.where("windows IS NOT NULL")))
+    return sure.union(materialize(inside.union(merged(shards.where("windows IS NOT NULL"))), "inside"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
