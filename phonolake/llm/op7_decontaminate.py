@@ -5,15 +5,17 @@ window). All shingles of a window must occur for the window to occur, so the
 join's necessary prefix is one shingle: the one rarest in all documents. Each
 document word opens a shingle; those that equal a prefix are candidates, cut by
 position (the window must begin and end inside the document) and verified word
-for word over the window. The windows are broadcast in blocks of at most
-BLOCK_WINDOWS rows, so that size is bounded whatever the benchmark's size.
+for word over the window. The distinct windows are broadcast in blocks of at most
+BLOCK_WINDOWS rows, so that size is bounded whatever the benchmark's size; the
+items that a window stands for join only what was found.
 
 Shingles compare under full lower-casing, which merges all that ASCII
 lower-casing merges; the verification compares under ASCII lower-casing.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words has no window; repeated rows are judged alike and each returned;
-equal item texts and repeated item ids count as the ids they carry; an empty
+equal item texts and repeated item ids count as the ids they carry (a null
+id names no item); an empty
 table on either side gives clean documents or none; other columns are not read.
 """
 
@@ -43,11 +45,10 @@ def raw_words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(win, len, items): each distinct window's words, their number, and the ids it comes from."""
+    """(item, win): the windows of each item, by their words."""
     w = items.select(column(items, key).cast("string").alias("item"), raw_words(ascii_lower(column(items, text))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
-    each = w.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("win"))
-    return each.groupBy("win").agg(F.size(F.split(F.first("win"), " ")).alias("len"), F.sort_array(F.collect_set("item")).alias("items"))
+    return w.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("win")).distinct()
 
 
 def _shingle(arr: str | Column, at: Column, n: int) -> list[Column]:
@@ -80,24 +81,24 @@ def _signed(docs: DataFrame, wins: DataFrame, n: int) -> DataFrame:
         found = _opened(docs, n).select(*keys).join(F.broadcast(block), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         counts = found if counts is None else counts.union(found)
     ranked = each.join(counts, keys, "left").select("win", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", *keys).alias("s"))
-    return wins.join(ranked.groupBy("win").agg(F.min("s").alias("s")), "win").select("win", "len", "items", "s.off", *[f"s.{k}" for k in keys])
+    return wins.join(ranked.groupBy("win").agg(F.min("s").alias("s")), "win").select("win", "len", "s.off", *[f"s.{k}" for k in keys])
 
 
 def _matches(docs: DataFrame, wins: DataFrame, n: int, alone: bool) -> DataFrame:
-    """(doc_id, th, n_words, start, len, items) of occurrences; with alone, a row of nulls for each document."""
+    """(doc_id, th, n_words, span, win) of occurrences; with alone, a row without a span for each document."""
     keys = [f"k{i}" for i in range(n)]
     signed = materialize(_signed(docs, wins, n), "signatures")
     out = None
     for i, block in enumerate(_blocks(signed, ["win"])):
         if alone and i == 0:
             blank = F.lit("")
-            block = block.unionByName(docs.sparkSession.range(1).select(blank.alias("win"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("off"), *[blank.alias(k) for k in keys]))
+            block = block.unionByName(docs.sparkSession.range(1).select(blank.alias("win"), F.lit(0).alias("len"), F.lit(0).alias("off"), *[blank.alias(k) for k in keys]))
         start = F.col("pos") - F.col("off")
         whole = (F.col("pos") > 0) & (F.col("len") > 0) & (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
         same = ascii_lower(F.array_join(F.slice("arr", start + 1, F.col("len")), " ")) == F.col("win")
         hit = F.when(whole, same).otherwise((F.col("pos") == 0) & (F.col("len") == 0))
         found = _opened(docs, n).join(F.broadcast(block), keys).where(hit)
-        found = found.select("doc_id", "th", "n_words", F.when(F.col("len") > 0, F.struct(start.alias("start"), "len")).alias("span"), "items")
+        found = found.select("doc_id", "th", "n_words", F.when(F.col("len") > 0, F.struct(start.alias("start"), "len")).alias("span"), "win")
         out = found if out is None else out.union(found)
     return out
 
@@ -107,24 +108,28 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     t = column(docs, text)
     slim = docs.select(column(docs, key).alias("doc_id"), text_key(t).alias("th"), F.concat(F.array(F.lit("")), raw_words(t)).alias("arr"))
     slim = slim.withColumn("n_words", (F.size("arr") - 1).cast("long"))
-    wins = materialize(windows(items, item_key, item_text, size), "windows")
+    sources = materialize(windows(items, item_key, item_text, size), "windows")
+    wins = sources.select("win").distinct().withColumn("len", F.size(F.split("win", " ")))
     found = _matches(slim, wins.where(F.col("len") >= SHINGLE), SHINGLE, alone=True)
     single = wins.where(F.col("len") < SHINGLE)
     if single.limit(1).count():
         found = found.union(_matches(slim, single, 1, alone=False))
+    found = materialize(found, "found")
     rows = found.groupBy("doc_id", "th").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.col("span").isNull().cast("long")).alias("copies"),
         F.sort_array(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+    held = found.where("span IS NOT NULL").select(F.col("doc_id").alias("at"), F.col("th").alias("at_th"), "win").distinct().join(sources, "win")
+    held = held.groupBy("at", "at_th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = rows.join(held, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("th") == F.col("at_th")), "left")
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["len"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(s["start"], acc["end"]))).cast("long").alias("n")),
         lambda acc: acc["n"],
     )
-    out = rows.select("doc_id", "th", "n_words", covered.alias("n_hit"), "items", (F.size("spans") > 0).alias("contaminated"), "copies")
+    out = rows.select("doc_id", "th", "n_words", covered.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.size("spans") > 0).alias("contaminated"), "copies")
     return repeated(out, "copies")
 
 
