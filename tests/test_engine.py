@@ -107,3 +107,14 @@ def test_ownership_needs_a_user(spark):
     c = spark.createDataFrame([("c", "u")], "id string, user_key string")
     m = spark.createDataFrame([("c", 1)], "conversation_id string, n long")
     assert store.owned(m, c, "u").count() == 1 and store.owned(m, c, None).count() == 0 and store.owned(m, c, "v").count() == 0
+
+
+def test_sql_functions(spark):
+    from phonolake.functions.sql import register
+    from phonolake.sources.synthetic import voices
+
+    register(spark)
+    voices(spark, 3).createOrReplaceTempView("recs")
+    rows = spark.sql("SELECT path, analyze_report(samples, sample_rate) AS r, speaker_turns(samples, sample_rate, 2) AS t, analyze_report(NULL, 8000) AS none FROM recs").collect()
+    assert len(rows) == 3 and all(90 * 0.9 < r.r.pitch.f0_median_hz < 280 * 1.1 and r.t and r.none is None for r in rows)
+    assert spark.sql("SELECT * FROM norms WHERE metric = 'snr_db'").count() == 1
