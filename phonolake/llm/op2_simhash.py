@@ -15,8 +15,10 @@ loses no pair either.
 `keep_one` links texts whose shingle sets are similar from a stated Jaccard
 similarity on. Such pairs differ in a good tenth of their bits, too many for whole
 blocks, so fingerprints are longer and the top level's masks are drawn bits, as
-many masks as a stated recall asks for. What leaves a pattern is a spanning forest, never all
-pairs; components of the forests are found across the cluster.
+many masks as a stated recall asks for.
+
+What leaves a pattern is a spanning forest, never all pairs; components of the
+forests are found across the cluster.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; texts under the shingle's length are one shingle; equal and repeated
@@ -213,9 +215,10 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float = 0.97) -> Patterns:
+def sampled_patterns(rows: int, similarity: float, width: int = 8, recall: float = 0.97) -> Patterns:
     """For 64 * width bits and far pairs: masks of drawn bits, about as many bits as tell `rows`
-    fingerprints apart, and as many masks as meet a pair at the similarity with that probability."""
+    fingerprints apart, and as many masks as meet a pair at the similarity with that probability.
+    The radius takes in 19 of 20 pairs at the similarity."""
     share, bits = differing(similarity), 64 * width
     draw = random.Random(42)
 
@@ -228,8 +231,7 @@ def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float
         return made
 
     top = masks(max(12, math.ceil(math.log2(max(rows, 2))) - 2), 1 - recall)
-    # Two standard deviations above the mean, so that pairs at the similarity are linked.
-    radius = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radius = math.floor(bits * share + 1.64 * math.sqrt(bits * share * (1 - share)))
     return Patterns(radius, width, top, [masks(8, 0.001)] * len(top))
 
 
@@ -315,11 +317,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(key, fp, component) of every row by 64-bit fingerprints; component is the smallest key of its component."""
     fps = materialize(fingerprints(docs, key, text, words_in_shingle), "fingerprints")
     found = materialize(groups(fps, block_patterns(radius)).select("key", F.col("f0").alias("fp"), "label"), "labels")
-    smallest = found.groupBy("label").agg(F.min("key").alias("component"))
+    # A table of its own, so that the join may split a crowded component.
+    smallest = materialize(found.groupBy("label").agg(F.min("key").alias("component")), "smallest")
     return found.join(smallest, "label").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 8) -> DataFrame:
     """docs with one row of each near-duplicate group, the one with the smallest key (nulls last).
 
     Texts are alike from the stated similarity of their shingle sets on, as

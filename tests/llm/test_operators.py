@@ -180,6 +180,17 @@ def test_best_fit_by_classes_is_best_fit_by_items(seed):
     assert op3.lower_bound(collections.Counter({51: 7, 3: 2}), 100) == 7
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_exact_filling(seed):
+    rng = np.random.default_rng(seed)
+    sizes = collections.Counter(rng.integers(1, 100, 400).tolist())
+    classes = op3.fill_exactly(sizes, 100)
+    assert sum((collections.Counter({s: c * n for s, c in held.items()}) for held, n in classes), collections.Counter()) == sizes
+    assert all(sum(s * c for s, c in held.items()) <= 100 for held, _ in classes)
+    assert op3.lower_bound(sizes, 100) <= sum(n for _, n in classes) <= 1.1 * op3.lower_bound(sizes, 100)
+    assert op3.fill_exactly({60: 2, 40: 1, 25: 2, 15: 1}, 100) == [({60: 1, 40: 1}, 1), ({60: 1, 25: 1, 15: 1}, 1), ({25: 1}, 1)]
+
+
 def test_special_strings_go_to_the_tokenizer():
     for text in ("a <|endoftext|> b", "  x\r\n\u00a0 y's 12 !!", "é\U0001f600 " * 50):
         path = f"{tokens.FOLDER}/byte_bpe_50k"
@@ -340,6 +351,19 @@ def test_paragraphs(docs, rows, empty, monkeypatch, split):
         assert op9.repeated_passages(empty).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 40, 250])
+def test_alike_sets_by_prefixes(n):
+    rng = np.random.default_rng(n)
+    base = [rng.choice(900, 21, replace=False) for _ in range(3)]
+    sets = [frozenset(base[i % 3].tolist()[: 21 - k] + rng.integers(0, 950, k).tolist()) for i, k in enumerate(rng.integers(0, 5, n).tolist())]
+    label = list(range(n))
+    for i, j in ((i, j) for i in range(n) for j in range(i)):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+    assert op9.components_of(sets, 0.8) == label
+
+
 def test_near_paragraphs_share_a_class(spark):
     import random
 
