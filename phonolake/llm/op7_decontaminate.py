@@ -138,7 +138,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     bad = contamination(docs, items, key, text).where("contaminated").select("doc_id", "th").distinct()
     th, bad_id, bad_th = (unused(docs, x) for x in ("th", "bad_id", "bad_th"))
     with_key = docs.withColumn(th, text_key(column(docs, text)))
-    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th))
+    bad = materialize(bad.select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_th)), "contaminated")
     kept = with_key.join(bad, column(with_key, key).eqNullSafe(F.col(bad_id)) & (F.col(th) == F.col(bad_th)), "left_anti")
     return kept.select(*[column(kept, c) for c in docs.columns])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import column, scratch_path, ship, table
+from phonolake.llm.common import column, materialize, scratch_path, ship, table
 
 SEGMENT_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 20
@@ -46,6 +46,7 @@ def marked(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     slim = pages.select(column(pages, key).alias("key"), F.coalesce(column(pages, url), F.lit("")).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     long = pages.select(column(pages, key).alias("key"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= REVISIT_BYTES)
     shared = long.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    shared = materialize(shared, "shared")  # a table of its own, so that the join may split a crowded payload
     other = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     return slim.join(shared, "digest", "left").select("key", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
