@@ -4,8 +4,8 @@ Texts are tokenised once, where they lie; only the lengths of pieces travel.
 Within a partition all that matters for packing is how many pieces there are of
 each length, at most `capacity` numbers, so best-fit decreasing runs on that
 histogram and yields classes of equal sequences. Dual feasible functions bound
-the number of sequences from below and certify a partition's count. Sequences
-with a gap give their pieces back: FAN partitions pool them, and best-fit
+the number of sequences from below and certify a partition's count; where it is missed,
+exact filling by subset sums is tried too. Sequences with a gap give their pieces back: FAN partitions pool them, and best-fit
 decreasing runs again over the pool, level by level, until one pool is left.
 A piece is named by (partition, length, rank), so each level's decision is one
 row for a (pool, length), and pieces find their places by joins on that row.
@@ -99,6 +99,37 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dic
     return [(held, bins) for space in sorted(open_) for held, bins in open_[space] if held]
 
 
+def fill_exactly(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Classes of bins as best_fit_decreasing gives them, each begun by the longest piece left and
+    filled with those that come nearest to its space, long ones first: a subset sum over the lengths
+    left, as a row of bits. A way to fill is used as often as its pieces last."""
+    left, sizes, classes = dict(counts), sorted(counts, reverse=True), []
+    while sizes:
+        space = capacity - sizes[0]
+        held, sums, used = {sizes[0]: 1}, [1], []
+        for size in (s for s in sizes if s <= space):
+            more, copies, step = sums[-1], min(left[size] - (size == sizes[0]), space // size), 1
+            while copies > 0:  # doubling steps reach every number of copies
+                step = min(step, copies)
+                more |= more << size * step & (1 << space + 1) - 1
+                copies, step = copies - step, 2 * step
+            used.append(size)
+            sums.append(more)
+            if more >> space & 1:
+                break
+        at = sums[-1].bit_length() - 1
+        for size, before in zip(reversed(used), reversed(sums[:-1]), strict=True):
+            while not before >> at & 1:
+                held[size] = held.get(size, 0) + 1
+                at -= size
+        bins = min(left[s] // c for s, c in held.items())
+        for s, c in held.items():
+            left[s] -= c * bins
+        sizes = [s for s in sizes if left[s]]
+        classes.append((held, bins))
+    return classes
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The most bins that any of these dual feasible functions asks for.
 
@@ -121,8 +152,12 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 def pack_pool(counts: dict[int, int], capacity: int, last: bool) -> tuple[dict[int, int], Runs, int, int]:
     """Pieces kept by length, their runs (first rank, copies, bins, first bin, offset),
-    and the pool's bins and bound. Only the last pool keeps bins with a gap."""
-    classes = best_fit_decreasing(counts, capacity)
+    and the pool's bins and bound. Only the last pool keeps bins with a gap. Where best
+    fit misses the bound, exact filling is tried, and the one with fewer bins stays."""
+    total = lambda classes: sum(n for _, n in classes)
+    classes, bound = best_fit_decreasing(counts, capacity), lower_bound(counts, capacity)
+    if total(classes) > bound:
+        classes = min(classes, fill_exactly(counts, capacity), key=total)
     kept, runs, at = dict.fromkeys(counts, 0), {s: [] for s in counts}, 0
     for held, bins in classes:
         if last or sum(s * c for s, c in held.items()) == capacity:
@@ -132,7 +167,7 @@ def pack_pool(counts: dict[int, int], capacity: int, last: bool) -> tuple[dict[i
                 kept[size] += copies * bins
                 offset += size * copies
             at += bins
-    return kept, runs, sum(b for _, b in classes), lower_bound(counts, capacity)
+    return kept, runs, total(classes), bound
 
 
 _LEVEL = "pool long, length long, kept long, released long, bins long, bound long, runs array<struct<first:long,copies:long,bins:long,bin:long,offset:long>>"
