@@ -4,9 +4,12 @@ Texts are tokenised once, where they lie; only the lengths of pieces travel.
 Within a partition all that matters for packing is how many pieces there are of
 each length, at most `capacity` numbers, so best-fit decreasing runs on that
 histogram and yields classes of equal sequences. Dual feasible functions bound
-the number of sequences from below and certify a partition's count; where it is missed,
-exact filling by subset sums is tried too. Sequences with a gap give their pieces back: FAN partitions pool them, and best-fit
-decreasing runs again over the pool, level by level, until one pool is left.
+the number of sequences from below and certify a partition's count; where it is missed, exact
+filling by subset sums is tried too. Sequences with a gap give their pieces back:
+FAN partitions pool them, and best-fit decreasing runs again over the pool, level
+by level, until one pool is left. Should the pieces of all partitions, as one
+histogram, take fewer sequences, all of them go to that last pool.
+
 A piece is named by (partition, length, rank), so each level's decision is one
 row for a (pool, length), and pieces find their places by joins on that row.
 
@@ -150,14 +153,21 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def pack_pool(counts: dict[int, int], capacity: int, last: bool) -> tuple[dict[int, int], Runs, int, int]:
-    """Pieces kept by length, their runs (first rank, copies, bins, first bin, offset),
-    and the pool's bins and bound. Only the last pool keeps bins with a gap. Where best
-    fit misses the bound, exact filling is tried, and the one with fewer bins stays."""
-    total = lambda classes: sum(n for _, n in classes)
+def total(classes: list[tuple[dict[int, int], int]]) -> int:
+    return sum(bins for _, bins in classes)
+
+
+def fewest(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The classes of best fit or, where it misses the bound and that has fewer bins, of exact
+    filling; and the bound."""
     classes, bound = best_fit_decreasing(counts, capacity), lower_bound(counts, capacity)
-    if total(classes) > bound:
-        classes = min(classes, fill_exactly(counts, capacity), key=total)
+    return classes if total(classes) <= bound else min(classes, fill_exactly(counts, capacity), key=total), bound
+
+
+def pack_pool(counts: dict[int, int], capacity: int, last: bool) -> tuple[dict[int, int], Runs, int, int]:
+    """Pieces kept by length, their runs (first rank, copies, bins, first bin, offset), and the
+    numbers of bins kept and of the bound. Only the last pool keeps bins with a gap."""
+    classes, bound = fewest(counts, capacity)
     kept, runs, at = dict.fromkeys(counts, 0), {s: [] for s in counts}, 0
     for held, bins in classes:
         if last or sum(s * c for s, c in held.items()) == capacity:
@@ -167,18 +177,19 @@ def pack_pool(counts: dict[int, int], capacity: int, last: bool) -> tuple[dict[i
                 kept[size] += copies * bins
                 offset += size * copies
             at += bins
-    return kept, runs, total(classes), bound
+    return kept, runs, at, bound
 
 
 _LEVEL = "pool long, length long, kept long, released long, bins long, bound long, runs array<struct<first:long,copies:long,bins:long,bin:long,offset:long>>"
 
 
-def _level(counts: DataFrame, capacity: int, last: bool) -> DataFrame:
-    """One row for each (pool, length) of counts (pool, length, n)."""
+def _level(counts: DataFrame, capacity: int, last: bool, hold: bool) -> DataFrame:
+    """One row for each (pool, length) of counts (pool, length, n). Without hold, only the last pool
+    keeps anything."""
 
     def run(group: pa.Table) -> pa.Table:
         have = dict(zip(group["length"].to_pylist(), group["n"].to_pylist(), strict=True))
-        kept, runs, bins, bound = pack_pool(have, capacity, last)
+        kept, runs, bins, bound = pack_pool(have, capacity, last) if last or hold else (dict.fromkeys(have, 0), {s: [] for s in have}, 0, 0)
         pool = group["pool"][0].as_py()
         rows = [{"pool": pool, "length": s, "kept": kept[s], "released": have[s] - kept[s], "bins": bins, "bound": bound, "runs": [dict(zip(("first", "copies", "bins", "bin", "offset"), r, strict=True)) for r in runs[s]]} for s in have]
         one = pa.struct([(n, pa.int64()) for n in ("first", "copies", "bins", "bin", "offset")])
@@ -188,13 +199,25 @@ def _level(counts: DataFrame, capacity: int, last: bool) -> DataFrame:
 
 
 def plan(named: DataFrame, capacity: int = CAPACITY) -> list[DataFrame]:
-    """The levels' decisions over pieces (part, length, rank), lowest level first."""
+    """The levels' decisions over pieces (part, length, rank), lowest level first. If all pieces in
+    one pool, at most `capacity` numbers, take fewer sequences, the levels below hand on everything."""
+    levels = _levels(named, capacity, True)
+    if len(levels) > 1:
+        made = sum(level.groupBy("pool").agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0 for level in levels)
+        counts = {r.length: r.n for r in named.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+        classes, _ = fewest(counts, capacity)
+        if total(classes) < made:
+            return _levels(named, capacity, False)
+    return levels
+
+
+def _levels(named: DataFrame, capacity: int, hold: bool) -> list[DataFrame]:
     top = named.agg(F.max("part")).first()[0]
     pools = (top if top is not None else 0) + 1
     counts = named.groupBy(F.col("part").alias("pool"), "length").agg((F.max("rank") + 1).alias("n"))
     levels = []
     while True:
-        made = _level(counts, capacity, pools == 1)
+        made = _level(counts, capacity, pools == 1, hold)
         before = Window.partitionBy("parent", "length").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)
         made = made.withColumn("parent", F.floor(F.col("pool") / FAN)).withColumn("start", F.coalesce(F.sum("released").over(before), F.lit(0)))
         made = materialize(made, f"level{len(levels)}")
