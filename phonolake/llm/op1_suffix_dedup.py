@@ -212,7 +212,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     windows = lambda p: ((F.shiftright(p, _COUNT_BITS)).alias("start"), p.bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)).cast("long").alias("count"))
     sure = again.select("r1", "r2", *windows(F.col("place")))
     # Anchors whose blocks differ, and of which some block is not known to repeat yet.
-    mixed = counts.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1")
+    mixed = materialize(counts.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1"), "mixed")
     wanted = counts.join(mixed, "anchor").select("anchor", "digest", "n", F.ceil(F.col("kinds") / SPLIT).alias("deals"), "at.*")
     wanted = wanted.select("r1", "r2", F.struct("place", "anchor", "digest", "n", "deals").alias("block")).groupBy("r1", "r2").agg(F.collect_set("block").alias("blocks"))
 
