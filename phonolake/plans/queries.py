@@ -196,7 +196,7 @@ def hann_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(signal.hann_smoothed(_vectors(spark, sf_dir), 5).select("rec", "i", "y"), "y")
 
 
-@query(f"WITH {_UNNEST} SELECT rec, i // 4 AS block, round(avg(x), 6) AS x FROM v WHERE i < 64 GROUP BY rec, i // 4")
+@query(f"WITH {_UNNEST} SELECT rec, CAST(i // 4 AS BIGINT) AS block, round(avg(x), 6) AS x FROM v WHERE i < 64 GROUP BY rec, i // 4")
 def block_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 values pooled to at most 20 blocks."""
     return _r(signal.pooled(_vectors(spark, sf_dir), 64, 20), "x")
