@@ -215,10 +215,15 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_patterns(rows: int, similarity: float, width: int = 8, recall: float = 0.97) -> Patterns:
-    """For 64 * width bits and far pairs: masks of drawn bits, about as many bits as tell `rows`
-    fingerprints apart, and as many masks as meet a pair at the similarity with that probability.
-    The radius takes in 19 of 20 pairs at the similarity."""
+#: Bits under a drawn mask at least: by chance, 1 of 65536 fingerprints meets another there.
+MASK_BITS = 16
+
+
+def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float = 0.97) -> Patterns:
+    """For 64 * width bits and far pairs: masks of MASK_BITS drawn bits, or of as many as tell `rows`
+    fingerprints apart if that is more, and as many masks as meet a pair at the similarity with that
+    probability: a number that grows as rows to the power of 0.23. The radius is a standard deviation
+    above the mean distance of such pairs, as a compromise between those over and under it."""
     share, bits = differing(similarity), 64 * width
     draw = random.Random(42)
 
@@ -230,8 +235,8 @@ def sampled_patterns(rows: int, similarity: float, width: int = 8, recall: float
             made.append(tuple(sum(1 << b % 64 for b in picked if b // 64 == w) for w in range(width)))
         return made
 
-    top = masks(max(12, math.ceil(math.log2(max(rows, 2))) - 2), 1 - recall)
-    radius = math.floor(bits * share + 1.64 * math.sqrt(bits * share * (1 - share)))
+    top = masks(max(MASK_BITS, math.ceil(math.log2(max(rows, 2))) - 2), 1 - recall)
+    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
     return Patterns(radius, width, top, [masks(8, 0.001)] * len(top))
 
 
@@ -322,7 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return found.join(smallest, "label").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate group, the one with the smallest key (nulls last).
 
     Texts are alike from the stated similarity of their shingle sets on, as
