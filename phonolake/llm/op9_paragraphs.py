@@ -11,9 +11,11 @@ band of two rows for each of the many windows of a passage replaces many bands
 for one: windows of similarity 0.8 collide with probability 0.64 each.
 
 Windows with one band are equal, by digest, or have their sets of shingles
-compared: in a band, each distinct window joins the first leader that it is
-alike, from SIMILARITY on, or leads. Components over these links are the
-classes; the smallest key of a class keeps its passage, all others lose it.
+compared exactly, from SIMILARITY on, by a join over their rarest shingles. A band
+with over SPLIT distinct windows is dealt over several tasks; there, windows of
+different deals meet through the heads of their components. Components over all
+links are the classes; the smallest key of a class keeps its passage, all others
+lose it.
 
 Defined results: a null text is empty; texts under PARAGRAPH words have no
 window; repeated rows hold the same passages, listed once for the key and text;
@@ -23,7 +25,11 @@ the key and the text are not read.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,7 @@ SHINGLE = 5
 #: Shingle places one of which must hold an anchor: those of a 50-word passage.
 REACH = 46
 SIMILARITY = 0.8
-#: Distinct windows of a band that one task compares with each other's leaders at first.
+#: Distinct windows of a band that one task compares.
 SPLIT = 4096
 #: Low bits of a key that hold a place; texts over 2**27 words are refused.
 _PLACE = np.uint64(27)
@@ -116,30 +122,66 @@ def shingle_set(text: bytes) -> frozenset[bytes]:
 _LINKS = pa.schema([("band", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.binary())])
 
 
+def components_of(sets: list[frozenset], similarity: float) -> list[int]:
+    """For each set the first one of its component, by links of that Jaccard similarity.
+
+    A prefix-filtered join: two sets that are alike share one of the rarest few of
+    either's members, so only sets that meet there are compared, and only while
+    they are not in one component already.
+    """
+    often = Counter(chain.from_iterable(sets))
+    head = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    met: dict = defaultdict(list)
+    for i, own in enumerate(sets):
+        prefix = heapq.nsmallest(len(own) - math.ceil(similarity * len(own) - 1e-9) + 1, own, key=lambda x: (often[x], x))
+        for j in dict.fromkeys(chain.from_iterable(met[x] for x in prefix)):
+            a, b = root(i), root(j)
+            if a != b:
+                both = len(own & sets[j])
+                if both >= similarity * (len(own) + len(sets[j]) - both):
+                    head[max(a, b)] = min(a, b)
+        for x in prefix:
+            met[x].append(i)
+    return [root(i) for i in range(len(sets))]
+
+
 def _led(held: DataFrame, similarity: float) -> DataFrame:
     """Each distinct window of held (band, deal, deals, digest, text), which comes grouped by
-    (band, deal), as a link from a to its leader b; leaders of dealt bands link to themselves
-    and keep their text."""
+    (band, deal), as a link from a to the head b of its component there; heads in dealt bands link
+    to themselves and keep their text."""
+
+    def rows_of(band: int, group: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+        for (deals, digest, text), h in zip(group, components_of([shingle_set(g[2]) for g in group], similarity), strict=True):
+            first = group[h][1]
+            if digest != first:
+                yield band, digest, first, None
+            elif deals > 1:
+                yield band, digest, digest, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders, rows = None, [], []
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
+        key, group, rows = None, [], []
         for batch in batches:
-            for band, deal, deals, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, deal) != group:
-                    group, leaders = (band, deal), []
-                own = shingle_set(text)
-                for other, theirs in leaders:
-                    both = len(own & theirs)
-                    if both >= similarity * (len(own) + len(theirs) - both):
-                        rows.append((band, digest, other, None))
-                        break
-                else:
-                    leaders.append((digest, own))
-                    if deals > 1:
-                        rows.append((band, digest, digest, text))
+            for band, deal, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, deal) != key:
+                    if len(group) > 1 or group and group[0][0] > 1:
+                        rows += rows_of(key[0], group)
+                    key, group = (band, deal), []
+                if not group or group[-1][1] != row[1]:  # repeated rows hand in a window twice
+                    group.append(tuple(row))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
+                yield pack(rows)
                 rows = []
+        rows += rows_of(key[0], group) if group else []
+        if rows:
+            yield pack(rows)
 
     placed = held.repartition("band", "deal").sortWithinPartitions("band", "deal", "digest")
     return placed.select("band", "deal", "deals", "digest", "text").mapInArrow(run, "band long, a long, b long, text binary")
@@ -147,7 +189,7 @@ def _led(held: DataFrame, similarity: float) -> DataFrame:
 
 def links(held: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the digests of windows (band, deals, digest, text) that are alike:
-    first within each deal of a band, then between the deals' leaders."""
+    first within each deal of a band, then between the heads of the deals' components."""
     dealt = held.withColumn("deal", F.pmod("digest", "deals"))
     first = materialize(_led(dealt, similarity), "led")
     leaders = first.where("text IS NOT NULL").select("band", F.lit(0).cast("long").alias("deal"), F.lit(1).cast("long").alias("deals"), F.col("a").alias("digest"), "text")
