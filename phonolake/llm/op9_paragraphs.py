@@ -6,9 +6,12 @@ first permutation itself says: the five-word shingle that hashes least among any
 REACH neighbours is an anchor, and the windows that begin at its first word and
 that end with its last are candidates. A passage of 50 words or more has an
 anchor, at the same place wherever it occurs, with one of its two windows inside.
-A window's band is the least of its shingle hashes under two permutations. One
-band of two rows for each of the many windows of a passage replaces many bands
-for one: windows of similarity 0.8 collide with probability 0.64 each.
+Lines and whole texts of 25 to 49 words are candidates as they stand, wherever
+their anchors are. A passage of 25 to 49 words inside a longer line is found only
+if an anchor's window lies inside it.
+A window has BANDS bands, each the least of its shingle hashes under two
+permutations of its own: windows of similarity 0.8 share a band with probability
+1 - (1 - 0.64) ** 3 = 0.95.
 
 Windows with one band are equal, by digest, or have their sets of shingles
 compared exactly, from SIMILARITY on, by a join over their rarest shingles. A band
@@ -29,6 +32,7 @@ import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -46,6 +50,8 @@ SHINGLE = 5
 #: Shingle places one of which must hold an anchor: those of a 50-word passage.
 REACH = 46
 SIMILARITY = 0.8
+#: Bands of two minima for a window.
+BANDS = 3
 #: Distinct windows of a band that one task compares.
 SPLIT = 4096
 #: Low bits of a key that hold a place; texts over 2**27 words are refused.
@@ -54,9 +60,9 @@ _PLACE = np.uint64(27)
 _LENGTH_BITS = 28
 
 
-def paragraphs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For texts laid end to end, ending at ends: windows' texts (by number), first and end
-    bytes in the whole, bands, and digests."""
+def paragraphs(data: np.ndarray, ends: np.ndarray, number: int = 0) -> tuple[np.ndarray, ...]:
+    """For texts laid end to end, a line end after each, ending at ends: windows' texts (by number),
+    first and end bytes in the whole, bands of that number, and digests."""
     start, stop, words = word_hashes(data)
     none = np.empty(0, np.int64)
     n = len(words) - SHINGLE + 1
@@ -65,16 +71,36 @@ def paragraphs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(ends, start, "right")
     at = np.arange(n)
     shingles = span_hashes(words, at, at + SHINGLE)
-    second = mixed(shingles * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     picked = _anchors(shingles, doc)
-    spans = PARAGRAPH - SHINGLE + 1
-    first, other = sliding_min(shingles, spans), sliding_min(second, spans)
     left = np.unique(np.concatenate((picked, picked - (PARAGRAPH - SHINGLE))))
-    left = left[(left >= 0) & (left < len(first))]
+    left = left[(left >= 0) & (left + PARAGRAPH <= len(words))]
     left = left[doc[left] == doc[left + PARAGRAPH - 1]]
-    band = mixed(first[left] ^ mixed(other[left]))
-    digest = span_hashes(words, left, left + PARAGRAPH)
-    return doc[left], start[left], stop[left + PARAGRAPH - 1], band.view(np.int64), digest.view(np.int64)
+    lines = np.searchsorted(np.flatnonzero(data == 10), start)
+    spans = [np.stack((left, left + PARAGRAPH)), _whole(lines), _whole(doc)]
+    left, right = np.unique(np.concatenate(spans, axis=1), axis=1)
+    band = mixed(_least(shingles, left, right, 2 * number) ^ mixed(_least(shingles, left, right, 2 * number + 1)))
+    digest = span_hashes(words, left, right)
+    return doc[left], start[left], stop[right - 1], band.view(np.int64), digest.view(np.int64)
+
+
+def _whole(part: np.ndarray) -> np.ndarray:
+    """First words and ends of the parts, each a run in part, that may lie between anchors' windows."""
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    size = np.diff(edge)
+    some = (size >= PARAGRAPH) & (size < REACH + SHINGLE - 1)
+    return np.stack((edge[:-1][some], edge[1:][some]))
+
+
+def _least(shingles: np.ndarray, left: np.ndarray, right: np.ndarray, permutation: int) -> np.ndarray:
+    """The least hash of the shingles of each span of words under a permutation; 0 is the shingles' own."""
+    own = mixed(shingles * np.uint64(0x9E3779B97F4A7C15) + np.uint64(permutation)) if permutation else shingles
+    spans = PARAGRAPH - SHINGLE + 1
+    first = sliding_min(own, spans)
+    last = right - SHINGLE - spans + 1
+    made = np.minimum(first[left], first[last])
+    for step in range(spans, REACH - spans, spans):  # spans over two windows long
+        made = np.minimum(made, first[np.minimum(left + step, last)])
+    return made
 
 
 def _anchors(shingles: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -96,17 +122,17 @@ def _anchors(shingles: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, r2, place, band, digest) of every paragraph window of rows (doc_id, r2, text); place
-    has the first byte and the number of bytes."""
+def windows(rows: DataFrame, number: int = 0) -> DataFrame:
+    """(doc_id, r2, place, band, digest) of every paragraph window of rows (doc_id, r2, text), with the
+    bands of that number; place has the first byte and the number of bytes."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches, 2):
             ends = np.cumsum([len(t) + 1 for t in texts])
-            doc, first, stop, band, digest = paragraphs(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), ends)
+            doc, first, stop, band, digest = paragraphs(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), ends, number)
             if len(doc) and (stop - first).max() >= 1 << _LENGTH_BITS:
-                raise ValueError("25 words of 256 MB or more")
+                raise ValueError("a paragraph of 256 MB or more")
             place = first - np.concatenate(([0], ends))[doc] << _LENGTH_BITS | stop - first
             ids = [part.column(i).take(pa.array(doc)) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(np.ascontiguousarray(c)) for c in (place, band, digest))], names=["doc_id", "r2", "place", "band", "digest"])
@@ -114,6 +140,21 @@ def windows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, r2 long, place long, band long, digest long")
 
 
+def shared(rows: DataFrame, number: int) -> DataFrame:
+    """The windows of rows whose band of that number another window has too, with mixed: whether the
+    band's windows differ. Equal windows share every band, so only the first hands on bands that
+    do not differ."""
+    every = materialize(windows(rows, number), "paragraphs")
+    again = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    again = again.where("n > 1" if number == 0 else "low <> high")
+    # A table of its own, so that the join below may split a crowded band.
+    again = materialize(again.select("band", (F.col("low") != F.col("high")).alias("mixed")), "bands")
+    found = materialize(every.join(again, "band"), "shared")
+    release(every)
+    rows.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of this band before the next
+    return found
+
+
 def shingle_set(text: bytes) -> frozenset[bytes]:
     w = text.lower().split()
     return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1))
@@ -217,18 +258,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     t = F.coalesce(column(docs, text), F.lit(""))
     rows = docs.select(column(docs, key).alias("doc_id"), text_key(t).alias("r2"), t.alias("text"))
-    every = materialize(windows(rows), "paragraphs")
-    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
-    shared = materialize(shared.select("band", (F.col("low") != F.col("high")).alias("mixed")), "bands")
-    found = materialize(every.join(shared, "band"), "shared")
-    release(every)
+    parts = [shared(rows, number) for number in range(BANDS)]
+    found = reduce(DataFrame.unionByName, parts)
     one = found.where("mixed").groupBy("band", "digest").agg(F.min(F.struct(F.xxhash64("doc_id").alias("r1"), "r2", "place")).alias("at"))
     one = materialize(one, "distinct")
     kinds = one.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("deals"))
     label = components(materialize(links(_texts(rows, one.join(kinds, "band").select("band", "deals", "digest", "at.*")), similarity), "links"))
     labels = found.join(label, F.col("digest") == F.col("node"), "left")
-    placed = materialize(labels.select("doc_id", "r2", "place", F.coalesce("label", "digest").alias("class_id")), "classes")
-    release(found)
+    # A window stands in each band that it shares, a row's copy in each row; both are listed once.
+    placed = materialize(labels.select("doc_id", "r2", "place", F.coalesce("label", "digest").alias("class_id")).distinct(), "classes")
+    for part in parts:
+        release(part)
     spread = placed.groupBy("class_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "r2") for f, n in ((F.min, "min"), (F.max, "max"))])
     spread = spread.where("min_doc_id <> max_doc_id OR min_r2 <> max_r2").select("class_id", F.col("min_doc_id").alias("kept_in"))
     spread = materialize(spread, "spread")

@@ -375,6 +375,50 @@ def test_near_paragraphs_share_a_class(spark):
     assert {r.doc_id for r in got} == {1, 2}
 
 
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def _windows_by_text(texts, number=0):
+    data = "\n".join([*texts, ""]).encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    doc, first, stop, band, digest = op9.paragraphs(np.frombuffer(data, np.uint8), ends, number)
+    out = [dict() for _ in texts]
+    for d, a, b, h, g in zip(doc.tolist(), first.tolist(), stop.tolist(), band.tolist(), digest.tolist(), strict=True):
+        out[d][data[a:b]] = (h, g)
+    return out
+
+
+@pytest.mark.parametrize("n", [25, 30, 35, 43, 49])
+def test_short_texts_and_lines_have_a_window(n):
+    import random
+
+    rng = random.Random(n)
+    lines = [" ".join(_words(rng, n)) for _ in range(60)]
+    longer = [" ".join(_words(rng, 40)) + "\n" + x + "\n" + " ".join(_words(rng, 70)) for x in lines]
+    made = _windows_by_text(lines + longer)
+    for x, a, b in zip(lines, made, made[60:], strict=False):
+        assert a[x.encode()] == b[x.encode()]
+    wrapped = [x.replace(" ", "\n", 3) for x in lines]
+    assert all(x.encode() in a for x, a in zip(wrapped, _windows_by_text(wrapped), strict=True))
+
+
+def test_bands_reach_their_recall():
+    import random
+
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(400):  # 49 words, 45 shingles; one changed word five from the end: 40 / 50 are shared
+        w = _words(rng, 49)
+        pairs += [" ".join(w), " ".join([*w[:44], "other", *w[45:]])]
+    made = [_windows_by_text(pairs, k) for k in range(op9.BANDS)]
+    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+        x, y = op9.shingle_set(a.encode()), op9.shingle_set(b.encode())
+        assert len(x & y) / len(x | y) == 0.8
+    met = sum(any(m[i][pairs[i].encode()][0] == m[i + 1][pairs[i + 1].encode()][0] for m in made) for i in range(0, 800, 2))
+    assert met >= 0.92 * 400
+
+
 # --- op10
 
 
