@@ -15,8 +15,8 @@ permutations of its own: windows of similarity 0.8 share a band with probability
 
 Windows with one band are equal, by digest, or have their sets of shingles
 compared exactly, from SIMILARITY on, by a join over their rarest shingles. A band
-with over SPLIT distinct windows is dealt over several tasks; there, windows of
-different deals meet through the heads of their components. Components over all
+with over SPLIT distinct windows is dealt, and every two deals are compared in a
+task of their own, so that any two windows of the band meet. Components over all
 links are the classes; the smallest key of a class keeps its passage, all others
 lose it.
 
@@ -160,7 +160,7 @@ def shingle_set(text: bytes) -> frozenset[bytes]:
     return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1))
 
 
-_LINKS = pa.schema([("band", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def components_of(sets: list[frozenset], similarity: float) -> list[int]:
@@ -168,7 +168,8 @@ def components_of(sets: list[frozenset], similarity: float) -> list[int]:
 
     A prefix-filtered join: two sets that are alike share one of the rarest few of
     either's members, so only sets that meet there are compared, and only while
-    they are not in one component already.
+    they are not in one component already: below each member of a prefix, sets
+    are kept by component.
     """
     often = Counter(chain.from_iterable(sets))
     head = list(range(len(sets)))
@@ -179,62 +180,57 @@ def components_of(sets: list[frozenset], similarity: float) -> list[int]:
             i = head[i]
         return i
 
-    met: dict = defaultdict(list)
+    met: dict = defaultdict(dict)
     for i, own in enumerate(sets):
         prefix = heapq.nsmallest(len(own) - math.ceil(similarity * len(own) - 1e-9) + 1, own, key=lambda x: (often[x], x))
-        for j in dict.fromkeys(chain.from_iterable(met[x] for x in prefix)):
-            a, b = root(i), root(j)
-            if a != b:
-                both = len(own & sets[j])
-                if both >= similarity * (len(own) + len(sets[j]) - both):
-                    head[max(a, b)] = min(a, b)
         for x in prefix:
-            met[x].append(i)
+            for h in [h for h in met[x] if root(h) != h]:
+                met[x].setdefault(root(h), []).extend(met[x].pop(h))
+            for h, kept in list(met[x].items()):
+                if root(h) == root(i):
+                    continue
+                for j in kept:
+                    both = len(own & sets[j])
+                    if both >= similarity * (len(own) + len(sets[j]) - both):
+                        a, b = root(i), root(j)
+                        head[max(a, b)] = min(a, b)
+                        break
+        for x in prefix:
+            met[x].setdefault(root(i), []).append(i)
     return [root(i) for i in range(len(sets))]
 
 
-def _led(held: DataFrame, similarity: float) -> DataFrame:
-    """Each distinct window of held (band, deal, deals, digest, text), which comes grouped by
-    (band, deal), as a link from a to the head b of its component there; heads in dealt bands link
-    to themselves and keep their text."""
+def links(held: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the digests of windows (band, deals, digest, text) that are alike: a
+    window to the head of its component among the windows of two deals, for every two deals."""
 
-    def rows_of(band: int, group: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
-        for (deals, digest, text), h in zip(group, components_of([shingle_set(g[2]) for g in group], similarity), strict=True):
-            first = group[h][1]
-            if digest != first:
-                yield band, digest, first, None
-            elif deals > 1:
-                yield band, digest, digest, text
+    def rows_of(group: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        for (digest, _), h in zip(group, components_of([shingle_set(g[1]) for g in group], similarity), strict=True):
+            if digest != group[h][0]:
+                yield digest, group[h][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _LINKS.types, strict=True)], schema=_LINKS)
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_LINKS)
         key, group, rows = None, [], []
         for batch in batches:
-            for band, deal, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, deal) != key:
-                    if len(group) > 1 or group and group[0][0] > 1:
-                        rows += rows_of(key[0], group)
-                    key, group = (band, deal), []
-                if not group or group[-1][1] != row[1]:  # repeated rows hand in a window twice
+            for band, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, low, high) != key:
+                    rows += rows_of(group)
+                    key, group = (band, low, high), []
+                if not group or group[-1][0] != row[0]:  # repeated rows hand in a window twice
                     group.append(tuple(row))
             if rows:
                 yield pack(rows)
                 rows = []
-        rows += rows_of(key[0], group) if group else []
+        rows += rows_of(group)
         if rows:
             yield pack(rows)
 
-    placed = held.repartition("band", "deal").sortWithinPartitions("band", "deal", "digest")
-    return placed.select("band", "deal", "deals", "digest", "text").mapInArrow(run, "band long, a long, b long, text binary")
-
-
-def links(held: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the digests of windows (band, deals, digest, text) that are alike:
-    first within each deal of a band, then between the heads of the deals' components."""
-    dealt = held.withColumn("deal", F.pmod("digest", "deals"))
-    first = materialize(_led(dealt, similarity), "led")
-    leaders = first.where("text IS NOT NULL").select("band", F.lit(0).cast("long").alias("deal"), F.lit(1).cast("long").alias("deals"), F.col("a").alias("digest"), "text")
-    return first.select("a", "b").union(_led(leaders, similarity).select("a", "b"))
+    dealt = held.withColumn("deal", F.pmod("digest", "deals")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    # With several deals, each is compared in itself wherever it meets another.
+    dealt = dealt.where("deals = 1 OR deal <> other").select("band", F.least("deal", "other").alias("low"), F.greatest("deal", "other").alias("high"), "digest", "text")
+    placed = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "digest")
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -364,6 +364,29 @@ def test_alike_sets_by_prefixes(n):
     assert op9.components_of(sets, 0.8) == label
 
 
+@pytest.mark.parametrize("split", [4096, 16])
+def test_crowded_bands_lose_no_links(spark, monkeypatch, split):
+    monkeypatch.setattr(op9, "SPLIT", split)
+    rng = np.random.default_rng(6)
+    base = ["w%d" % i for i in range(25)]
+    texts = set()  # changed at the ends: many pairs are alike, but few with any one window
+    while len(texts) < 90:
+        a, b = rng.integers(0, 4, 2)
+        texts.add(" ".join(["x%d" % i for i in rng.integers(0, 9, a)] + base[a : 25 - b] + ["y%d" % i for i in rng.integers(0, 9, b)]))
+    texts = sorted(texts)
+    sets = [op9.shingle_set(t.encode()) for t in texts]
+    digest = rng.permutation(10**6)[:90].tolist()
+    label = dict(zip(digest, digest, strict=True))
+    for i, j in ((i, j) for i in range(90) for j in range(i)):
+        a, b = label[digest[i]], label[digest[j]]
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and a != b:
+            label = {d: min(a, b) if x in (a, b) else x for d, x in label.items()}
+    held = spark.createDataFrame([(1, -(-90 // split), d, t.encode()) for d, t in zip(digest, texts, strict=True)], "band long, deals long, digest long, text binary")
+    got = {r.node: r.label for r in components(op9.links(held, 0.8)).collect()}
+    assert {d: got.get(d, d) for d in digest} == label
+    assert 2 < len(set(label.values())) < 60
+
+
 def test_near_paragraphs_share_a_class(spark):
     import random
 
