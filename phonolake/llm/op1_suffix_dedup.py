@@ -99,8 +99,7 @@ class Shard:
         at = np.flatnonzero(whole)
         if not len(at):
             return at, at, at, at
-        least = np.minimum.reduceat(lcp, np.concatenate(([0], at[:-1] + 1)))  # over the suffixes between windows
-        least = least[: len(at)]
+        least = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))  # over the suffixes between windows
         new = least < self.length
         new[0] = True
         group = np.cumsum(new) - 1

@@ -52,6 +52,22 @@ def test_suffix_dedup(docs, rows, monkeypatch, split):
     assert counted(made) == counted(_removed(rows, 400))
 
 
+def test_shards_share_what_brute_force_does():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        length = int(rng.integers(2, 6))
+        texts = [bytes(rng.integers(97, 99, rng.integers(length, 14)).astype(np.uint8)) for _ in range(rng.integers(1, 6))]
+        shard = op1.Shard(length)
+        for t in texts:
+            shard.add((0, 0, 0, 0, 0, 0, 1, 1, t))
+        windows = [(b, i, t[i : i + length]) for b, t in enumerate(texts) for i in range(len(t) - length + 1)]
+        often = collections.Counter(w for _, _, w in windows)
+        block, inside, group, size = shard.shared()
+        assert counted(zip(block.tolist(), inside.tolist(), size.tolist(), strict=True)) == counted((b, i, often[w]) for b, i, w in windows)
+        named = {(g, texts[b][i : i + length]) for b, i, g in zip(block.tolist(), inside.tolist(), group.tolist(), strict=True)}
+        assert len(named) == len({g for g, _ in named}) == len(often)
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert op1.dedup(empty).collect() == []
 
