@@ -15,7 +15,10 @@ loses no pair either.
 `keep_one` links texts whose shingle sets are similar from a stated Jaccard
 similarity on. Such pairs differ in a good tenth of their bits, too many for whole
 blocks, so fingerprints are longer and the top level's masks are drawn bits, as
-many masks as a stated recall asks for.
+many masks as a stated recall asks for. There, components are candidates only:
+inside each, the sets of shingles (by 64-bit hash) are compared, and only pairs
+from the stated similarity on are links. A component with over SPLIT texts is
+dealt, and every two deals are compared in a task of their own.
 
 What leaves a pattern is a spanning forest, never all pairs; components of the
 forests are found across the cluster.
@@ -43,6 +46,7 @@ from pyspark.sql import functions as F
 
 from phonolake.llm.common import column, materialize, ship, table, text_key, unused
 from phonolake.llm.graph import components
+from phonolake.llm.op9_paragraphs import components_of
 
 SEED = 42
 RADIUS = 3
@@ -50,21 +54,30 @@ RADIUS = 3
 FANOUT = 16
 #: Members above which a pattern is factored by a third block.
 HOT = 50_000
+#: Distinct texts of a candidate component that one task compares.
+SPLIT = 2048
 
 
-def fingerprint(text: str | None, words_in_shingle: int, width: int = 1, repeats: bool = True) -> np.ndarray:
-    """The bit majorities, 64 * width of them, as signed longs. The first 64 are of the
-    shingles' XXH64; further ones are of that hash mixed anew. Without repeats, equal
-    shingles count once."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle; none for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return np.zeros(width, np.int64)
+        return np.empty(0, "<u8")
     k = min(words_in_shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words_in_shingle: int, width: int = 1, repeats: bool = True) -> np.ndarray:
+    """The bit majorities, 64 * width of them, as signed longs. The first 64 are of the
+    shingles' XXH64; further ones are of that hash mixed anew. Without repeats, equal
+    shingles count once."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    if not len(hashes):
+        return np.zeros(width, np.int64)
     hashes = hashes if repeats else np.unique(hashes)
     out = np.empty(width, "<i8")
     for i in range(width):
@@ -219,11 +232,11 @@ def differing(similarity: float) -> float:
 MASK_BITS = 16
 
 
-def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float = 0.97) -> Patterns:
+def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float = 0.99) -> Patterns:
     """For 64 * width bits and far pairs: masks of MASK_BITS drawn bits, or of as many as tell `rows`
     fingerprints apart if that is more, and as many masks as meet a pair at the similarity with that
-    probability: a number that grows as rows to the power of 0.23. The radius is a standard deviation
-    above the mean distance of such pairs, as a compromise between those over and under it."""
+    probability: a number that grows as rows to the power of 0.23. The radius is three standard deviations
+    above the mean distance of such pairs: those under the similarity are told apart later."""
     share, bits = differing(similarity), 64 * width
     draw = random.Random(42)
 
@@ -236,7 +249,7 @@ def sampled_patterns(rows: int, similarity: float, width: int = 4, recall: float
         return made
 
     top = masks(max(MASK_BITS, math.ceil(math.log2(max(rows, 2))) - 2), 1 - recall)
-    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     return Patterns(radius, width, top, [masks(8, 0.001)] * len(top))
 
 
@@ -327,18 +340,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return found.join(smallest, "label").select("key", "fp", "component")
 
 
+def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the r2 of rows (r1, r2, text) with one label in found (r1, r2, label): a text
+    to the head of its component by that Jaccard similarity among the texts of two deals."""
+    members = materialize(found.groupBy("label", "r2").agg(F.min("r1").alias("r1")), "members")
+    # A table of its own, so that the join below may split a crowded label.
+    sizes = materialize(members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    wanted = members.join(sizes, "label").select("r1", "r2", "label", F.ceil(F.col("n") / SPLIT).alias("deals"))
+    held = rows.join(materialize(wanted, "wanted"), ["r1", "r2"]).withColumn("deal", F.pmod("r2", "deals"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    # With several deals, each is compared in itself wherever it meets another.
+    held = held.where("deals = 1 OR deal <> other").select("label", F.least("deal", "other").alias("low"), F.greatest("deal", "other").alias("high"), "r2", "text")
+
+    def links_of(group: list[tuple[int, str | None]]) -> list[tuple[int, int]]:
+        sets = [frozenset(shingle_hashes(t, words_in_shingle).tolist() or [0]) for _, t in group]  # texts without words are equal
+        return [(group[i][0], group[h][0]) for i, h in enumerate(components_of(sets, similarity)) if h != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda made: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], names=["a", "b"])
+        key, group = None, []
+        for batch in batches:
+            for label, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, low, high) != key:
+                    if made := links_of(group):
+                        yield pack(made)
+                    key, group = (label, low, high), []
+                if not group or group[-1][0] != row[0]:  # repeated rows hand in a text twice
+                    group.append(tuple(row))
+        if made := links_of(group):
+            yield pack(made)
+
+    placed = held.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "r2")
+    return placed.mapInArrow(run, "a long, b long")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate group, the one with the smallest key (nulls last).
 
-    Texts are alike from the stated similarity of their shingle sets on, as
-    fingerprints of 64 * width bits tell it. Other columns pass through.
+    Texts are alike from the stated Jaccard similarity of their shingle sets on;
+    fingerprints of 64 * width bits find the candidates. Other columns pass through.
     """
     fps = materialize(fingerprints(docs, key, text, words_in_shingle, width, repeats=False), "fingerprints")
     rows = fps.agg(F.approx_count_distinct(F.xxhash64(*_fields(width)), 0.02)).first()[0]
-    found = groups(fps, sampled_patterns(rows, similarity, width))
+    found = materialize(groups(fps, sampled_patterns(rows, similarity, width)).select("key", "r1", "r2", "label"), "candidates")
+    own, t = column(docs, key), column(docs, text)
+    texts = docs.select(F.xxhash64(own).alias("r1"), text_key(t).alias("r2"), t.alias("text"))
+    label = components(materialize(alike(texts, found, words_in_shingle, similarity), "alike"))
+    found = found.drop("label").join(label, F.col("r2") == F.col("node"), "left").withColumn("label", F.coalesce("label", "r2"))
     chosen = found.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")).alias("best"))
     chosen = materialize(chosen.select(F.col("best.r1").alias("r1"), F.col("best.r2").alias("r2")), "kept")
-    own, t = column(docs, key), column(docs, text)
     a, b, c, d, n = (unused(docs, x) for x in ("r1", "r2", "kept_r1", "kept_r2", "copy"))
     with_key = docs.withColumn(a, F.xxhash64(own)).withColumn(b, text_key(t))
     chosen = chosen.select(F.col("r1").alias(c), F.col("r2").alias(d))

@@ -142,6 +142,22 @@ def test_keep_one(docs, rows):
     assert {8, 9, 12, *range(100, 140)} <= set(ids) and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("split", [2048, 1])
+def test_keep_one_holds_to_the_similarity(spark, monkeypatch, split):
+    monkeypatch.setattr(op2, "SPLIT", split)
+    rng = np.random.default_rng(8)
+    rows, near, under = [], set(), set()
+    for i in range(120):
+        for n, ids in ((49, near), (44, under)):  # one changed word: 40 of 50 shingles are shared, or 35 of 45
+            w = ["w%d" % x for x in rng.integers(0, 10**9, n)]
+            k = len(rows)
+            rows += [(k, " ".join(w)), (k + 1, " ".join([*w[:20], "other", *w[21:]]))]
+            ids.add(k + 1)
+    kept = {r.doc_id for r in op2.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert under <= kept and {k for k, _ in rows if k % 2 == 0} <= kept
+    assert len(near - kept) >= 0.95 * len(near)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (700, 700)], "a long, b long")
     label = {r.node: r.label for r in components(edges).collect()}
