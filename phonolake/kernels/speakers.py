@@ -36,6 +36,36 @@ def average_linkage(distance: np.ndarray) -> np.ndarray:
     return np.array(merges)
 
 
+def cosine_linkage(unit: np.ndarray) -> np.ndarray:
+    """Merges (a, b, height) by the mean cosine distance between clusters of unit vectors, by chains of
+    nearest neighbours. That mean is 1 - (sum_a . sum_b) / (n_a * n_b), so memory is the vectors, time
+    their square. Clusters are named by one of their members."""
+    n = len(unit)
+    total, size, name = unit.astype(float), np.ones(n), np.arange(n)  # the clusters left, packed to the front
+    chain, merges, left = [], [], n
+    place = np.arange(n)  # of each cluster, by name
+    while left > 1:
+        if not chain:
+            chain = [int(name[:left].min())]
+        while True:
+            a = place[chain[-1]]
+            d = 1 - total[:left] @ total[a] / (size[:left] * size[a])
+            d[a] = np.inf
+            b = int(np.argmin(d))
+            if len(chain) > 1 and d[place[chain[-2]]] <= d[b] + 1e-12:  # rounding must not turn a tie into a ring
+                b = int(place[chain[-2]])
+                break
+            chain.append(int(name[b]))
+        del chain[-2:]
+        merges.append((int(name[a]), int(name[b]), d[b]))
+        total[a] += total[b]
+        size[a] += size[b]
+        left -= 1
+        total[b], size[b], name[b] = total[left], size[left], name[left]
+        place[name[b]] = b
+    return np.array(merges)
+
+
 def cut(merges: np.ndarray, n: int, clusters: int) -> np.ndarray:
     """Labels 0 .. by first appearance after all but the highest merges."""
     parent = np.arange(n)
@@ -78,10 +108,9 @@ def turns(label: np.ndarray, step: float, least: float) -> list[tuple[int, float
     return kept
 
 
-def diarize(x: np.ndarray, rate: int, speakers: int = 2, most: int = 4, least_turn: float = 0.4, max_frames: int = 6000) -> dict:
+def diarize(x: np.ndarray, rate: int, speakers: int = 2, most: int = 4, least_turn: float = 0.4) -> dict:
     """Speakers, their seconds and turns. Fewer than two speakers asked for means as many as the best
-    silhouette says, two at least. Recordings with more speech frames than max_frames are refused: the
-    linkage holds a square of them."""
+    silhouette says, two at least."""
     shapes = log_bands(x, rate)
     none = lambda note: {"n_speakers": 0, "speaking_time_s": {}, "turns": [], "note": note}
     if len(shapes) < 10:
@@ -90,11 +119,9 @@ def diarize(x: np.ndarray, rate: int, speakers: int = 2, most: int = 4, least_tu
     at = np.flatnonzero(rms > 0.15 * rms.max())
     if len(at) < 10:
         return none("no sustained speech detected")
-    if len(at) > max_frames:
-        return none("recording too long for diarization")
     unit = shapes[at] - shapes[at].mean(axis=1, keepdims=True)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-10)
-    merges = average_linkage(1 - unit @ unit.T)
+    merges = cosine_linkage(unit)
     counts = [speakers] if speakers > 1 else range(2, most + 1)
     best = max((cut(merges, len(at), k) for k in counts), key=lambda lab: silhouette(unit, lab))
     label = np.zeros(len(shapes), int)

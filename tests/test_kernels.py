@@ -182,6 +182,24 @@ def test_two_voices():
     assert speakers.diarize(np.zeros(100), RATE)["note"]
 
 
+@pytest.mark.parametrize("n", [2, 30, 150])
+def test_linkage_of_vectors_is_that_of_their_distances(n):
+    x = np.random.default_rng(n).standard_normal((n, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = speakers.average_linkage(1 - x @ x.T), speakers.cosine_linkage(x)
+    assert np.allclose(np.sort(a[:, 2]), np.sort(b[:, 2]))
+    assert all((speakers.cut(a, n, k) == speakers.cut(b, n, k)).all() for k in range(1, min(n, 6)))
+
+
+def test_long_recordings_have_speakers():
+    voice = lambda *tones: np.sum([tone(f, a, 35.0) for f, a in tones], axis=0)
+    x = np.concatenate([voice((150, 0.5), (2500, 0.2)), voice((300, 0.5), (900, 0.4))])
+    x += 0.01 * np.random.default_rng(0).standard_normal(len(x))
+    d = speakers.diarize(x, RATE)
+    assert d["note"] is None and d["n_speakers"] == 2
+    assert [t[0] for t in d["turns"]] == [0, 1] and d["turns"][1][1] == pytest.approx(35, abs=0.2)
+
+
 def test_student_t():
     assert stats.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert stats.t_two_sided(12.706204736, 1) == pytest.approx(0.05, abs=1e-9)
