@@ -1,11 +1,12 @@
 """Secret scans: three fixed patterns, and a token-efficiency test for random strings.
 
 Ordinary words cost a byte-level vocabulary few tokens; random strings cost
-nearly a token for every character or two. A run of 20 or more key characters
-outside the fixed patterns' spans is reported as `random` when it has fewer
-than RATIO characters a token, unless it is a digest of a known length, a UUID,
-a number, or an identifier: parts between separators that are plain words,
-capitalised words or short numbers.
+nearly a token for every character or two. A run of 20 or more key characters,
+or what the fixed patterns' spans leave of it, is reported as `random` when it has
+fewer than RATIO characters a token, unless it is a digest of a known length, a
+UUID, a number, or an identifier: parts between separators that are plain words,
+capitalised words or short numbers. A part of 20 or more letters in one case is
+such a word only if it has RATIO characters a token itself, else it is reported.
 
 Every span is in code points, end exclusive, over the whole text.
 
@@ -33,6 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every access and hex match lies inside one such run, so one scan finds all three.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Parts of identifiers that look like one word, but need not be.
+LETTERS = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{20,}|[A-Z]{20,})(?![A-Za-z0-9])")
 #: Characters a token below which a run counts as random.
 RATIO = 2.0
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512. Fixed values.
@@ -67,16 +70,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def left_over(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the base spans, in order of start, leave of start .. end."""
+    out = []
+    for a, b, _ in base:
+        if start < a:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+        if start >= end:
+            break
+    return [*out, (start, end)] if start < end else out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], vocabulary: str) -> list[tuple[int, int, str]]:
-    found, at, reached = [], 0, 0
+    found, at = [], 0
+    held: list[tuple[int, int, str]] = []
+    dense = lambda a, b: b - a < RATIO * len(tokens.byte_bpe(vocabulary).encode_ordinary(text[a:b]))
     for m in RUN.finditer(text):
         while at < len(base) and base[at][0] < m.end():  # base is in order of start, so is the scan
-            reached = max(reached, base[at][1])
+            held.append(base[at])
             at += 1
-        if reached > m.start() or known(m[0]):
-            continue
-        if len(m[0]) < RATIO * len(tokens.byte_bpe(vocabulary).encode_ordinary(m[0])):
-            found.append((m.start(), m.end(), "random"))
+        held = [s for s in held if s[1] > m.start()]
+        whole = known(m[0])
+        for a, b in left_over(m.start(), m.end(), held):
+            if b - a < 20:
+                continue
+            if whole or known(text[a:b]):
+                found += [(w.start(), w.end(), "random") for w in LETTERS.finditer(text, a, b) if dense(w.start(), w.end())]
+            elif dense(a, b):
+                found.append((a, b, "random"))
     return found
 
 
