@@ -274,19 +274,30 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document with repeated passages: how many windows and bytes repeat, how
-    many windows go, its smallest class, and the documents that keep its passages."""
-    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return by_document(table(spark, sf_dir, "documents"))
+
+
+def by_document(docs: DataFrame) -> DataFrame:
+    """One row for each document: how many windows and bytes repeat, how many windows go, its
+    smallest class, all its classes, and the documents that keep its passages. Documents without
+    repeated passages have zeros, no smallest class and empty lists."""
+    found = repeated_passages(docs)
     merged = F.aggregate(
         F.sort_array(F.collect_set(F.struct("start", "end"))),
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["end"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    return found.groupBy("doc_id", "r2").agg(
+    some = found.groupBy(F.col("doc_id").alias("key"), F.col("r2").alias("key2")).agg(
         F.count(F.lit(1)).alias("n_windows"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
         merged.alias("repeated_bytes"),
         F.min("class_id").alias("class_id"),
+        F.sort_array(F.collect_set("class_id")).alias("class_ids"),
         F.sort_array(F.collect_set("kept_in")).alias("kept_in"),
-    ).drop("r2")
+    )
+    every = docs.select(column(docs, "doc_id").alias("doc_id"), text_key(column(docs, "text")).alias("r2"))
+    joined = every.join(some, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("r2") == F.col("key2")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast(some.schema[c].dataType)).alias(c)
+    return joined.select("doc_id", count("n_windows"), count("n_removed"), count("repeated_bytes"), "class_id", listed("class_ids"), listed("kept_in"))

@@ -394,6 +394,19 @@ def test_paragraphs(docs, rows, empty, monkeypatch, split):
         assert op9.repeated_passages(empty).collect() == []
 
 
+def test_paragraphs_by_document(docs, rows):
+    got = op9.by_document(docs).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    classes = collections.defaultdict(set)
+    for r in op9.repeated_passages(docs).collect():
+        classes[r.doc_id, r.r2].add(r.class_id)
+    listed = collections.Counter(tuple(r.class_ids) for r in got if r.class_ids)
+    again = collections.Counter(r[0] for r in rows)
+    assert listed == sum((collections.Counter({tuple(sorted(c)): again[i]}) for (i, _), c in classes.items()), collections.Counter())
+    assert all(r.class_ids == [] and r.kept_in == [] and r.class_id is None and r.n_removed == r.repeated_bytes == 0 for r in got if r.n_windows == 0)
+    assert any(len(r.class_ids) > 1 for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 40, 250])
 def test_alike_sets_by_prefixes(n):
     rng = np.random.default_rng(n)
