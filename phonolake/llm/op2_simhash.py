@@ -32,11 +32,13 @@ the key and the text are not read.
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,6 @@ from pyspark.sql import functions as F
 
 from phonolake.llm.common import column, materialize, ship, table, text_key, unused
 from phonolake.llm.graph import components
-from phonolake.llm.op9_paragraphs import components_of
 
 SEED = 42
 RADIUS = 3
@@ -300,25 +301,27 @@ def _edges(ids: np.ndarray, fields: np.ndarray, starts: np.ndarray, radius: int)
     sizes = np.diff(np.append(starts, len(ids)))
     run = np.repeat(np.arange(len(starts)), sizes)
     small = (sizes <= FANOUT)[run]
-    a, b = [], []
+    near = []
     for lag in range(1, int(min(FANOUT, sizes.max()))):
         i = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-        i = i[apart(codes[i], codes[i + lag]) <= radius]
-        a.append(ids[i])
-        b.append(ids[i + lag])
+        near.append(i[apart(codes[i], codes[i + lag]) <= radius])
+    near = [(i, i + lag) for lag, i in enumerate(near, 1)]
+    label = join(np.arange(len(ids)), *(np.concatenate(c) for c in zip(*near, strict=True))) if near else np.arange(len(ids))
     for k in np.flatnonzero(sizes > FANOUT):
-        own, index = members(codes[starts[k] : starts[k] + sizes[k]], ids[starts[k] : starts[k] + sizes[k]])
-        head = own[index.forest(radius)]
-        a.append(own[own != head])
-        b.append(head[own != head])
-    if a and sum(map(len, a)):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+        at = slice(starts[k], starts[k] + sizes[k])
+        order, index = members(codes[at])
+        label[starts[k] + order] = starts[k] + order[index.forest(radius)]
+    # A component's smallest id is its head: under most masks it is the same, and so are the links.
+    head = ids.copy()
+    np.minimum.at(head, label, ids)
+    head = head[label]
+    if (some := ids != head).any():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(head[some], pa.int64())], names=["a", "b"])
 
 
-def members(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, GrayIndex]:
-    """The index over codes, and their ids in its order."""
-    index = GrayIndex(codes)
-    return ids[np.lexsort(gray_rank(codes).T[::-1])], index
+def members(codes: np.ndarray) -> tuple[np.ndarray, GrayIndex]:
+    """The index over codes, and where its members stand in them."""
+    return np.lexsort(gray_rank(codes).T[::-1]), GrayIndex(codes)
 
 
 def groups(fps: DataFrame, patterns: Patterns) -> DataFrame:
@@ -340,6 +343,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return found.join(smallest, "label").select("key", "fp", "component")
 
 
+def components_of(sets: list[frozenset], similarity: float) -> list[int]:
+    """For each set the first one of its component, by links of that Jaccard similarity.
+
+    A prefix-filtered join: two sets that are alike share one of the rarest few of
+    either's members, so only sets that meet there are compared, and only while
+    they are not in one component already: below each member of a prefix, sets
+    are kept by component.
+    """
+    often = Counter(chain.from_iterable(sets))
+    head = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    met: dict = defaultdict(dict)
+    for i, own in enumerate(sets):
+        prefix = heapq.nsmallest(len(own) - math.ceil(similarity * len(own) - 1e-9) + 1, own, key=lambda x: (often[x], x))
+        for x in prefix:
+            for h in [h for h in met[x] if root(h) != h]:
+                met[x].setdefault(root(h), []).extend(met[x].pop(h))
+            for h, kept in list(met[x].items()):
+                if root(h) == root(i):
+                    continue
+                for j in kept:
+                    both = len(own & sets[j])
+                    if both >= similarity * (len(own) + len(sets[j]) - both):
+                        a, b = root(i), root(j)
+                        head[max(a, b)] = min(a, b)
+                        break
+        for x in prefix:
+            met[x].setdefault(root(i), []).append(i)
+    return [root(i) for i in range(len(sets))]
+
+
 def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between the r2 of rows (r1, r2, text) with one label in found (r1, r2, label): a text
     to the head of its component by that Jaccard similarity among the texts of two deals."""
