@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if driver and tasks are
+    one process, as in tests; elsewhere executors would not see each other's files, so it is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="phonolake-")
@@ -55,6 +60,12 @@ def release(made: DataFrame) -> None:
     _written.remove((spark, path))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written already."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from phonolake.llm.common import materialize
 
 
+#: A path of n nodes settles in a number of rounds that grows as log n squared at most.
+ROUNDS = 200
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node reachable.
 
@@ -19,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     star = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     last = None
-    for turn in range(200):
+    for turn in range(ROUNDS):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.where("u = v"))
@@ -33,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # A table of its own, so that joins with it may split a crowded node.
     return materialize(star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "components")

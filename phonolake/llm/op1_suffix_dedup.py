@@ -33,30 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm.common import column, materialize, release, ship, table, text_key
-from phonolake.llm.suffixes import common_prefixes, packed, suffix_array, window_blocks
+from phonolake.llm.suffixes import BATCH_BYTES, common_prefixes, packed, suffix_array, texts_of, window_blocks
 
 LENGTH = 400
 SHARD_BYTES = 1 << 20
 #: Distinct blocks of an anchor in one shard.
 SPLIT = 2048
-#: Bytes of text handled at once.
-BATCH_BYTES = 1 << 22
 #: A block's place and number of windows share a long; blocks have at most `length` windows.
 _COUNT_BITS = 10
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], field: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches with about BATCH_BYTES of text, and those texts as bytes."""
-    for batch in batches:
-        texts = batch.column(field).cast(pa.binary())
-        sizes = np.cumsum(np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), np.int64, len(texts)))
-        low = 0
-        while low < len(texts):
-            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BATCH_BYTES, "right")))
-            yield batch.slice(low, high - low), [x or b"" for x in texts.slice(low, high - low).to_pylist()]
-            low = high
-
-
 def blocks(rows: DataFrame, length: int) -> DataFrame:
     """(r1, r2, anchor, digest, place) of every window block of rows (r1, r2, text)."""
 

@@ -379,7 +379,7 @@ def test_suffix_arrays(n):
     assert suffixes.common_prefixes(s, key, depth, sa).tolist() == [0] + [common(a, b) for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)]
 
 
-@pytest.mark.parametrize("split", [4096, 1])
+@pytest.mark.parametrize("split", [1 << 14, 1])
 def test_paragraphs(docs, rows, empty, monkeypatch, split):
     monkeypatch.setattr(op9, "SPLIT", split)
     got = op9.repeated_passages(docs).collect()
@@ -417,85 +417,109 @@ def test_alike_sets_by_prefixes(n):
         if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = label[i], label[j]
             label = [min(a, b) if x in (a, b) else x for x in label]
-    assert op9.components_of(sets, 0.8) == label
+    assert op2.components_of(sets, 0.8) == label
 
 
-@pytest.mark.parametrize("split", [4096, 16])
-def test_crowded_bands_lose_no_links(spark, monkeypatch, split):
-    monkeypatch.setattr(op9, "SPLIT", split)
-    rng = np.random.default_rng(6)
-    base = ["w%d" % i for i in range(25)]
-    texts = set()  # changed at the ends: many pairs are alike, but few with any one window
-    while len(texts) < 90:
-        a, b = rng.integers(0, 4, 2)
-        texts.add(" ".join(["x%d" % i for i in rng.integers(0, 9, a)] + base[a : 25 - b] + ["y%d" % i for i in rng.integers(0, 9, b)]))
-    texts = sorted(texts)
-    sets = [op9.shingle_set(t.encode()) for t in texts]
-    digest = rng.permutation(10**6)[:90].tolist()
-    label = dict(zip(digest, digest, strict=True))
-    for i, j in ((i, j) for i in range(90) for j in range(i)):
-        a, b = label[digest[i]], label[digest[j]]
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and a != b:
-            label = {d: min(a, b) if x in (a, b) else x for d, x in label.items()}
-    held = spark.createDataFrame([(1, -(-90 // split), d, t.encode()) for d, t in zip(digest, texts, strict=True)], "band long, deals long, digest long, text binary")
-    got = {r.node: r.label for r in components(op9.links(held, 0.8)).collect()}
-    assert {d: got.get(d, d) for d in digest} == label
-    assert 2 < len(set(label.values())) < 60
-
-
-def test_near_paragraphs_share_a_class(spark):
-    import random
+def _word_list(text):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", (text or "").encode())]
 
-    rng = random.Random(9)
-    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
-    a, b = " ".join(w[:120]), " ".join(w[:60] + ["other"] + w[60:120])
-    docs = spark.createDataFrame([(1, a), (2, b), (3, " ".join(w[200:320]))], "doc_id long, text string")
-    got = op9.repeated_passages(docs).collect()
-    assert {r.doc_id for r in got} == {1, 2}
 
+def _shared_bytes(rows, run):
+    """For each row the bytes of its runs of that many words that another row's text has too, texts under a paragraph aside."""
+    words = [_word_list(t) for _, t in rows]
+    runs = [{tuple(x[2] for x in w[j : j + run]): None for j in range(len(w) - run + 1)} if len(w) >= op9.PARAGRAPH else {} for w in words]
+    often = collections.Counter(r for _, own in {(i, t or ""): own for (i, t), own in zip(rows, runs, strict=True)}.items() for r in own)
+    for (i, _), w, own in zip(rows, words, runs, strict=True):
+        held = {k for j in range(len(w) - run + 1) if own and often[tuple(x[2] for x in w[j : j + run])] > 1 for k in range(w[j][0], w[j + run - 1][1])}
+        yield i, len(held)
 
-def _words(rng, n):
-    return ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
 
+@pytest.mark.parametrize("split", [1 << 14, 3])
+def test_paragraphs_cover_what_brute_force_does(spark, monkeypatch, split):
+    monkeypatch.setattr(op9, "SPLIT", split)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = collections.Counter(_shared_bytes(rows, op9.common_run(0.8) + 4))
+    assert counted((r.doc_id, r.repeated_bytes) for r in op9.by_document(docs).collect()) == want
+    assert sum(n > 0 for _, n in want) > 20
 
-def _windows_by_text(texts, number=0):
-    data = "\n".join([*texts, ""]).encode()
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc, first, stop, band, digest = op9.paragraphs(np.frombuffer(data, np.uint8), ends, number)
-    out = [dict() for _ in texts]
-    for d, a, b, h, g in zip(doc.tolist(), first.tolist(), stop.tolist(), band.tolist(), digest.tolist(), strict=True):
-        out[d][data[a:b]] = (h, g)
-    return out
 
+def test_crowded_bands_give_the_same_classes(docs, rows, monkeypatch):
+    whole = {(r.doc_id, r.start, r.end): r.class_id for r in op9.repeated_passages(docs).collect()}
+    monkeypatch.setattr(op9, "SPLIT", 1)
+    dealt = {(r.doc_id, r.start, r.end): r.class_id for r in op9.repeated_passages(docs).collect()}
+    assert whole.keys() == dealt.keys()
+    assert len({(whole[k], dealt[k]) for k in whole}) == len(set(whole.values())) == len(set(dealt.values()))
 
-@pytest.mark.parametrize("n", [25, 30, 35, 43, 49])
-def test_short_texts_and_lines_have_a_window(n):
-    import random
 
-    rng = random.Random(n)
-    lines = [" ".join(_words(rng, n)) for _ in range(60)]
-    longer = [" ".join(_words(rng, 40)) + "\n" + x + "\n" + " ".join(_words(rng, 70)) for x in lines]
-    made = _windows_by_text(lines + longer)
-    for x, a, b in zip(lines, made, made[60:], strict=False):
-        assert a[x.encode()] == b[x.encode()]
-    wrapped = [x.replace(" ", "\n", 3) for x in lines]
-    assert all(x.encode() in a for x, a in zip(wrapped, _windows_by_text(wrapped), strict=True))
+def _window_sets(text):
+    w = text.split()
+    sets = [frozenset(tuple(w[j + k : j + k + 5]) for k in range(21)) for j in range(len(w) - 24)]
+    return sets
 
 
-def test_bands_reach_their_recall():
+def test_alike_windows_are_those_of_brute_force(spark):
+    """Every two windows with a Jaccard similarity of 0.8 or more make their documents share a class; no others do."""
     import random
 
-    rng = random.Random(3)
-    pairs = []
-    for _ in range(400):  # 49 words, 45 shingles; one changed word five from the end: 40 / 50 are shared
-        w = _words(rng, 49)
-        pairs += [" ".join(w), " ".join([*w[:44], "other", *w[45:]])]
-    made = [_windows_by_text(pairs, k) for k in range(op9.BANDS)]
-    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
-        x, y = op9.shingle_set(a.encode()), op9.shingle_set(b.encode())
-        assert len(x & y) / len(x | y) == 0.8
-    met = sum(any(m[i][pairs[i].encode()][0] == m[i + 1][pairs[i + 1].encode()][0] for m in made) for i in range(0, 800, 2))
-    assert met >= 0.92 * 400
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    texts = []
+    for _ in range(90):
+        w = list(rng.choice(base))
+        low = rng.randint(0, 25)
+        w = w[low : low + rng.randint(24, 50)]
+        for _ in range(rng.randint(0, 2)):
+            at, how = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (how > 0)] = [word()] if how < 2 else []
+        texts.append(" ".join([word() for _ in range(rng.randint(0, 9))] + w + [word() for _ in range(rng.randint(0, 9))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.doc_id: set(r.class_ids) for r in op9.by_document(docs).collect()}
+    sets = [_window_sets(t) for t in texts]
+    alike = {(i, j) for i in range(90) for j in range(i) if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[i] for b in sets[j])}
+    assert len(alike) > 100
+    assert all(classes[i] & classes[j] for i, j in alike)
+    assert {i for i, c in classes.items() if c} == {i for pair in alike for i in pair}
+
+
+@pytest.mark.parametrize("n, edits", [(25, 0), (30, 0), (40, 0), (50, 0), (50, 1), (100, 2), (140, 3)])
+def test_embedded_passages_are_found(spark, n, edits):
+    """Passages inside foreign words, exact or with words changed as far as 0.8 allows, are all found."""
+    import random
+
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    while len(texts) < 400:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), edits):
+            b[at] = word()
+        x, y = (frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for w in (a, b))
+        if 5 * len(x & y) >= 4 * len(x | y):
+            texts += [" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]) for w in (a, b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.doc_id: set(r.class_ids) for r in op9.by_document(docs).collect()}
+    assert all(classes[i] & classes[i + 1] for i in range(0, 400, 2))
+
+
+def test_passages_at_a_stated_similarity(spark):
+    assert op9.common_run(0.8) == 19 and op9.common_run(1.0) == 21
+    with pytest.raises(ValueError, match="may differ"):
+        op9.common_run(0.6)
+    w = ["w%d" % i for i in range(25)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w[:24], "other"])), (3, " ".join([*w[:23], "two", "more"]))], "doc_id long, text string")
+    assert {r.doc_id for r in op9.repeated_passages(docs).collect()} == {1, 2, 3}
+    assert op9.repeated_passages(docs, similarity=1.0).collect() == []
+
+
+def test_bands_of_long_texts_do_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = np.frombuffer(b" ".join(b"w%d" % i for i in rng.integers(0, 40, 6000)) + b"\n", np.uint8)
+    whole = op9.bands(data, np.array([len(data)]), 19)
+    monkeypatch.setattr(op9, "CHUNK", 64)
+    assert all((a == b).all() for a, b in zip(whole, op9.bands(data, np.array([len(data)]), 19), strict=True))
 
 
 # --- op10
@@ -525,3 +549,47 @@ def test_order_does_not_change_the_verdict(docs):
     w = docs.select("doc_id", "text", op10.words_of(F.col("text")).alias("w"))
     verdicts = [w.select("doc_id", op10.cascade(F.col("text"), F.col("w"), order).isNull().alias("k")) for order in (names, names[::-1])]
     assert counted(verdicts[0].collect()) == counted(verdicts[1].collect())
+
+
+def test_cheap_and_rejecting_rules_come_first(spark):
+    texts = [("word " * 30 + "!" * 60 if i % 2 else " ".join(f"w{i}x{k}" for k in range(3000)),) for i in range(120)]
+    docs = spark.createDataFrame(texts, "text string").repartition(2)
+    found = op10.estimate(docs, runs=5)
+    by = {e.name: e for e in found}
+    assert by["exclamations"].rejected == by["repeated_words"].rejected == 0.5
+    names = [e.name for e in found]
+    assert names.index("exclamations") < names.index("repeated_words") < names.index("min_words")
+    assert [e.rejected / e.seconds for e in found] == sorted((e.rejected / e.seconds for e in found), reverse=True)
+
+
+def test_the_sample_is_drawn_from_all_rows(spark, monkeypatch):
+    seen = []
+    keep = op10.materialize
+    monkeypatch.setattr(op10, "materialize", lambda df, tag: seen.append(keep(df, tag)) or seen[-1])
+    docs = spark.range(20_000, numPartitions=10).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    op10.estimate(docs, rules=op10.RULES[:1], sample_rows=500, runs=1)
+    drawn = [int(r.t.split()[1]) for r in seen[0].collect()]
+    assert 400 < len(drawn) < 600 and all(20 < sum(i // 2000 == k for i in drawn) < 90 for k in range(10))
+
+
+def test_a_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from phonolake.llm.common import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}))
+
+    assert shared_dir(session("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_dir(session("local[8]", None)).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            shared_dir(session(master, None))
+
+
+def test_components_say_when_they_do_not_settle(spark, monkeypatch):
+    from phonolake.llm import graph
+
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="settle"):
+        components(spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
