@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,14 @@ def longest(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-def inside(rows: DataFrame, segments: DataFrame, by: list[str], at: str) -> DataFrame:
-    """The rows that some segment of their group holds, bounds included."""
-    s = segments.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("start").alias("__start"), F.col("end").alias("__end"))
-    on = [F.col(b) == F.col(f"__{b}") for b in by] + [F.col(at).between(F.col("__start"), F.col("__end"))]
-    return rows.join(s, on, "left_semi")
+def inside(rows: DataFrame, by: list[str], at: str, gap: float, order: list[str], least: float) -> DataFrame:
+    """The rows that some stretch of `islands` holds. A row lies in its own stretch or in none, so
+    stretches are measured where their rows stand, without a join."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    split = F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(False))
+    own = Window.partitionBy(*by, "island")
+    numbered = numbered_islands(rows, by, order, split).withColumn("__long", F.max(at).over(own) - F.min(at).over(own) >= least)
+    return numbered.where("__long").drop("__long", "island")
 
 
 def runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -51,13 +56,37 @@ def inner_gaps(rows: DataFrame, by: list[str], order: list[str], flag: str, leas
     return runs(between, by, order, flag).where(~F.col(flag) & (F.col("n") >= least))
 
 
+def merged_turns(turns: DataFrame, by: list[str], order: str, least: float) -> DataFrame:
+    """Turns (by, order, speaker, start, end) with those under `least` given to the turn before them and
+    equal neighbours merged: by, turn (from 0), speaker, start, end. A short turn always goes to the
+    last one that is not, so each pass is a running count and an aggregation."""
+    w = Window.partitionBy(*by).orderBy(order)
+    first, last = F.min_by("speaker", order).alias("speaker"), F.max_by("end", order).alias("end")
+
+    def pass_(rows: DataFrame, new: Column) -> DataFrame:
+        marked = rows.withColumn("__part", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*by, "__part").agg(first, F.min("start").alias("start"), last, F.min(order).alias("__first")).drop("__part").withColumnRenamed("__first", order)
+
+    head = F.lag("speaker").over(w)
+    absorbed = pass_(turns.withColumn("__head", F.row_number().over(w) == 1), F.col("__head") | (F.col("end") - F.col("start") >= least))
+    merged = pass_(absorbed.withColumn("__new", F.coalesce(head != F.col("speaker"), F.lit(True))), F.col("__new"))
+    return merged.select(*by, (F.row_number().over(w) - 1).alias("turn"), "speaker", "start", "end")
+
+
 def folded_turns(turns: Column, least: float) -> Column:
-    """Turns (array of speaker, start, end) with short ones absorbed by the turn before them and
-    equal neighbours merged. Each step depends on the one before, so it folds over the array."""
-    last = lambda acc: F.element_at(acc, -1)
-    grown = lambda acc, t: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["speaker"].alias("speaker"), last(acc)["start"].alias("start"), t["end"].alias("end"))))
-    absorb = F.aggregate(turns, F.slice(turns, 1, 0), lambda acc, t: F.when((F.size(acc) > 0) & (t["end"] - t["start"] < least), grown(acc, t)).otherwise(F.concat(acc, F.array(t))))
-    return F.aggregate(absorb, F.slice(turns, 1, 0), lambda acc, t: F.when((F.size(acc) > 0) & (last(acc)["speaker"] == t["speaker"]), grown(acc, t)).otherwise(F.concat(acc, F.array(t))))
+    """`merged_turns` over one array of (speaker, start, end): what begins a turn is marked, and what
+    lies between two marks is one turn. A null speaker is one of its own."""
+    size = F.size(turns)
+
+    def parts(rows: Column, begins: Callable[[Column, Column], Column]) -> Column:
+        marks = F.filter(F.transform(rows, lambda t, i: F.when((i == 0) | begins(t, i), i)), lambda i: i.isNotNull())
+        stop = lambda k: F.coalesce(F.get(marks, k + 1), F.size(rows)) - 1
+        return F.transform(marks, lambda i, k: F.struct(F.get(rows, i)["speaker"].alias("speaker"), F.get(rows, i)["start"].alias("start"), F.get(rows, stop(k))["end"].alias("end")))
+
+    one = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  computed once
+    absorbed = parts(turns, lambda t, i: t["end"] - t["start"] >= least)
+    merged = one(absorbed, lambda rows: parts(rows, lambda t, i: ~t["speaker"].eqNullSafe(F.get(rows, i - 1)["speaker"])))
+    return F.when(size > 0, merged).otherwise(F.slice(turns, 1, 0))
 
 
 def spaced(times: Column, least: float) -> Column:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolake.functions.scalar import pearson, ratio
+from phonolake.operators import ranks
 
 #: Screening ranges (metric, band, low, high, note). Fixed values.
 NORMS = (
-    ("f0_hz", "men", 85.0, 180.0, "modal speaking pitch"),
-    ("f0_hz", "women", 165.0, 255.0, "modal speaking pitch"),
-    ("f0_hz", "children", 250.0, 350.0, "modal speaking pitch"),
-    ("jitter_percent", "typical", 0.0, 1.0, "local jitter, sustained vowel"),
-    ("jitter_percent", "borderline", 1.0, 1.5, "local jitter, sustained vowel"),
-    ("shimmer_db", "typical", 0.0, 0.35, "local shimmer, sustained vowel"),
-    ("shimmer_db", "borderline", 0.35, 0.7, "local shimmer, sustained vowel"),
-    ("hnr_db", "typical", 20.0, 45.0, "above 20 dB: stable phonation"),
-    ("hnr_db", "borderline", 15.0, 20.0, "above 20 dB: stable phonation"),
-    ("snr_db", "typical", 30.0, 60.0, "recording quality target"),
+    ("f0_hz", "men", 85.0, 180.0, "everyday speech"),
+    ("f0_hz", "women", 165.0, 255.0, "everyday speech"),
+    ("f0_hz", "children", 250.0, 350.0, "everyday speech"),
+    ("jitter_percent", "typical", 0.0, 1.0, "held vowels"),
+    ("jitter_percent", "borderline", 1.0, 1.5, "held vowels"),
+    ("shimmer_db", "typical", 0.0, 0.35, "held vowels"),
+    ("shimmer_db", "borderline", 0.35, 0.7, "held vowels"),
+    ("hnr_db", "typical", 20.0, 45.0, "held vowels"),
+    ("hnr_db", "borderline", 15.0, 20.0, "held vowels"),
+    ("snr_db", "typical", 30.0, 60.0, "what a recording should reach"),
 )
 
 
@@ -51,24 +52,28 @@ def graded(values: DataFrame, table: DataFrame, metric: str, value: str) -> Data
 def pitch_summary(frames: DataFrame, by: list[str], f0: str, voiced: Column) -> DataFrame:
     """Voicing and the voiced frames' pitch: mean, median, population deviation and range."""
     v = F.when(voiced, F.col(f0))
-    return frames.groupBy(*by).agg(
+    whole = frames.groupBy(*by).agg(
         (F.count(v) / F.count(F.lit(1))).alias("voiced_ratio"),
         F.count(v).alias("n_voiced_frames"),
         F.avg(v).alias("f0_mean_hz"),
-        F.median(v).alias("f0_median_hz"),
         F.stddev_pop(v).alias("f0_std_hz"),
         F.min(v).alias("f0_min_hz"),
         F.max(v).alias("f0_max_hz"),
     )
+    middle = ranks.quantiles(frames.where(voiced).select(*by, F.col(f0).alias("__f0")), by, "__f0", [0.5], "__q")
+    joined = _beside(whole, middle, by).withColumn("f0_median_hz", F.get("__q", F.lit(0)))
+    return joined.select(*by, "voiced_ratio", "n_voiced_frames", "f0_mean_hz", "f0_median_hz", "f0_std_hz", "f0_min_hz", "f0_max_hz")
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with the columns of b for the same group, nulls equal; both have a row for each group."""
+    named = b.select(*[F.col(k).alias(f"__b_{k}") for k in by], *[c for c in b.columns if c not in by])
+    return a.join(named, [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in by], "left").drop(*[f"__b_{k}" for k in by])
 
 
 def energetic_half(frames: DataFrame, by: list[str], energy: str, tie: list[str]) -> DataFrame:
     """The most energetic half of a group's frames, five at least if it has them."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    rank = F.row_number().over(w.orderBy(F.col(energy).desc(), *[F.col(t).desc() for t in tie]))
-    ranked = frames.withColumn("__n", n).withColumn("__rank", rank)
-    return ranked.where((F.col("__n") <= 5) | (F.col("__rank") <= F.greatest(F.lit(5), F.floor(F.col("__n") / 2)))).drop("__n", "__rank")
+    return ranks.upper_half(frames, by, energy, tie)
 
 
 def formant_summary(frames: DataFrame, by: list[str], names: list[str]) -> DataFrame:
@@ -77,12 +82,12 @@ def formant_summary(frames: DataFrame, by: list[str], names: list[str]) -> DataF
     full = F.lit(True)
     for n in names:
         full = full & F.col(n).isNotNull()
-    aggs = [F.sum(full.cast("long")).alias("n_frames")]
-    for n in names:
-        aggs += [F.percentile(F.when(full, F.col(n)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{n}"), F.avg(F.col(n).isNotNull().cast("int")).alias(f"__c_{n}")]
-    out = frames.groupBy(*by).agg(*aggs)
+    found = [F.avg(F.col(n).isNotNull().cast("int")).alias(f"__c_{n}") for n in names]
+    out = frames.groupBy(*by).agg(F.sum(full.cast("long")).alias("n_frames"), *found)
+    whole = frames.where(full)
     cols = [*by, "n_frames"]
     for n in names:
+        out = _beside(out, ranks.quantiles(whole.select(*by, F.col(n).cast("double").alias(n)), by, n, [0.25, 0.5, 0.75], f"__{n}"), by)
         q = F.col(f"__{n}")
         iqr = q[2] - q[0]
         stable = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - iqr / (0.2 * F.greatest(q[1], F.lit(1.0)))))
@@ -131,9 +136,16 @@ def agreement_columns(a: Column, b: Column, d: Column, least: int = 3) -> list[C
     ]
 
 
+#: Groups that `welch` pairs at most: half a million pairs.
+MOST_GROUPS = 1000
+
+
 def welch(groups: DataFrame, key: str, value: str, least: int = 5) -> DataFrame:
     """Every pair of groups: t, Welch-Satterthwaite degrees of freedom, sizes and the effect size by
-    medians. The groups are summed up before they are paired."""
+    medians. The groups are summed up before they are paired. The result has a row for every pair, so
+    more than MOST_GROUPS groups are refused rather than paired."""
+    if groups.select(key).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"{key} has more than {MOST_GROUPS} groups to pair")
     s = groups.groupBy(F.col(key).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.median(value).alias("med"), F.stddev_pop(value).alias("sd")).where(F.col("n") >= least)
     a, b = s.alias("a"), s.alias("b")
     pairs = a.join(b, F.col("a.g") < F.col("b.g"))
@@ -161,15 +173,17 @@ def metric_differences(a: DataFrame, b: DataFrame, metrics: dict[str, str]) -> D
 def nearest(a: DataFrame, b: DataFrame, by: list[str], at: str, within: float, tie: str | None = None) -> DataFrame:
     """Each row of a with the row of b nearest in time, not further than `within`; the later one of
     two as near. Times fall into buckets as wide as the tolerance, and b's rows stand in three, so the
-    join is by equality. Rows of a are told apart by their columns."""
+    join is by equality. Equal rows of a are matched once and come back as often as they stand there."""
     width = F.lit(within)
-    left = a.withColumn("__bucket", F.floor(F.col(at) / width))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.explode(F.array(*[F.floor(F.col(at) / width) + k for k in (-1, 0, 1)])).alias("__b_bucket"))
-    on = [F.col(c) == F.col(f"b_{c}") for c in by] + [F.col("__bucket") == F.col("__b_bucket"), F.abs(F.col(f"b_{at}") - F.col(at)) <= within]
-    joined = left.join(right, on)
-    best = [F.abs(F.col(f"b_{at}") - F.col(at)), F.col(f"b_{at}").desc()] + ([F.col(f"b_{tie}").desc()] if tie else [])
-    w = Window.partitionBy(*[c for c in a.columns]).orderBy(*best)
-    return joined.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__bucket", "__b_bucket")
+    left = a.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__bucket", F.floor(F.col(at) / width))
+    right = b.select(F.struct(*[F.col(c).alias(f"b_{c}") for c in b.columns]).alias("__b"), F.explode(F.array(*[F.floor(F.col(at) / width) + k for k in (-1, 0, 1)])).alias("__b_bucket"))
+    other = lambda c: F.col("__b")[f"b_{c}"]
+    apart = F.abs(other(at) - F.col(at))
+    joined = left.join(right, [F.col(c) == other(c) for c in by] + [F.col("__bucket") == F.col("__b_bucket"), apart <= within])
+    best = F.struct(-apart, other(at), *([other(tie)] if tie else []))
+    found = joined.groupBy(*a.columns, "__copies").agg(F.max_by("__b", best).alias("__b"))
+    again = found.select(*a.columns, "__b", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy"))
+    return again.select(*a.columns, "__b.*")
 
 
 def condition(name: Column) -> Column:

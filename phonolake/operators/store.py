@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonolake.operators import ranks
+
 
 def new_id() -> Column:
     """Twelve hexadecimal digits."""
@@ -128,8 +130,27 @@ def accepted(events: DataFrame, by: list[str], at: str, limit: int, seconds: flo
 
 def running(rows: DataFrame, by: list[str], order: list[str], size: str, quota: int) -> DataFrame:
     """rows with what their group has used up to them, and whether that is within the quota."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).withColumn("within", F.col("used") <= quota)
+    return ranks.running_sum(rows, by, order, size, "used").withColumn("within", F.col("used") <= quota)
+
+
+def uploads(rows: DataFrame, by: list[str], order: list[str], size: str, quota: int) -> DataFrame:
+    """rows (by, order, size) with `taken`: an upload that would pass the quota is refused and does not
+    count. Each verdict depends on those before it, so keys stream through in order."""
+    keyed = rows.select(*by, *order, F.col(size).cast("long").alias(size))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, 0
+        for batch in batches:
+            verdicts = []
+            for *own, n in zip(*(batch.column(i).to_pylist() for i in (*range(len(by)), batch.num_columns - 1)), strict=True):
+                if own != key:
+                    key, used = own, 0
+                verdicts.append(used + (n or 0) <= quota)
+                used += (n or 0) if verdicts[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.bool_())], names=[*batch.schema.names, "taken"])
+
+    return keyed.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{kinds}, taken boolean")
 
 
 def distinct_content(rows: DataFrame, key: str, content: str) -> DataFrame:

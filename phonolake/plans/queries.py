@@ -277,7 +277,7 @@ def longest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'WITH {_USER_ISLANDS} SELECT e.user_id, event_id FROM e WHERE EXISTS (SELECT 1 FROM g WHERE g.user_id = e.user_id AND e.t BETWEEN g.start AND g."end")')
 def segment_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events inside some stretch of their user."""
-    return segments.inside(_events(spark, sf_dir), _user_islands(spark, sf_dir), ["user_id"], "t").select("user_id", "event_id")
+    return segments.inside(_events(spark, sf_dir), ["user_id"], "t", 3_600_000_000, ["t", "event_id"], 60_000_000).select("user_id", "event_id")
 
 
 @query("SELECT event_type, round(count(value) FILTER (value > 100) / count(*), 6) AS voiced_ratio, count(value) FILTER (value > 100) AS n_voiced_frames, round(avg(value) FILTER (value > 100), 6) AS f0_mean_hz, round(median(value) FILTER (value > 100), 6) AS f0_median_hz, round(stddev_pop(value) FILTER (value > 100), 6) AS f0_std_hz, min(value) FILTER (value > 100) AS f0_min_hz, max(value) FILTER (value > 100) AS f0_max_hz FROM events GROUP BY event_type")
@@ -433,12 +433,15 @@ def grade_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.graded(e, statistics.norms(spark), "metric", "value").select("event_id", "grade")
 
 
-@query("SELECT * FROM (VALUES ('jitter_percent', 'typical', 0.0::DOUBLE, 1.0::DOUBLE, 'local jitter, sustained vowel'), ('jitter_percent', 'borderline', 1.0::DOUBLE, 1.5::DOUBLE, 'local jitter, sustained vowel')) t(metric, band, lo, hi, note)")
+@query("SELECT * FROM (VALUES ('jitter_percent', 'typical', 0.0::DOUBLE, 1.0::DOUBLE, 'held vowels'), ('jitter_percent', 'borderline', 1.0::DOUBLE, 1.5::DOUBLE, 'held vowels')) t(metric, band, lo, hi, note)")
 def norm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges a loose metric name means."""
     return statistics.reference_ranges(statistics.norms(spark), "Jitter local")
 
 
+#: Centroids that one array holds at most, about.
+LABELS = 4000
+
 _CONV = "c AS (SELECT conv_id AS id, 'u' || CAST(conv_id % 7 AS VARCHAR) AS user_key, CAST(min(turn) AS DOUBLE) AS created_at, CAST(max(turn) + conv_id % 13 AS DOUBLE) AS updated_at FROM conversations GROUP BY conv_id)"
 
 
@@ -530,7 +533,12 @@ def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.in_window(e, ["user_id"], "s", 36000).select("event_id", "in_window")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), "
+    "w AS (SELECT user_id, k, s, true AS ok, [s] AS held FROM e WHERE k = 1 UNION ALL "
+    "SELECT user_id, k, s, len(h) < 8, CASE WHEN len(h) < 8 THEN list_append(h, s) ELSE h END FROM (SELECT e.*, list_filter(w.held, lambda x: e.s - x <= 36000) AS h FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)) "
+    "SELECT user_id, s, ok FROM w"
+)
 def rate_limit_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight calls in ten hours, where refused calls do not count."""
     e = _events(spark, sf_dir).withColumn("s", F.col("t") / F.lit(1e6))
@@ -543,6 +551,17 @@ def quota_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.running(_table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 50000).select("doc_id", "used", "within")
 
 
+@query(
+    "WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), "
+    "w AS (SELECT source, doc_id, n_chars, k, n_chars <= 50000 AS taken, CASE WHEN n_chars <= 50000 THEN n_chars ELSE 0 END AS used FROM d WHERE k = 1 UNION ALL "
+    "SELECT d.source, d.doc_id, d.n_chars, d.k, w.used + d.n_chars <= 50000, w.used + CASE WHEN w.used + d.n_chars <= 50000 THEN d.n_chars ELSE 0 END FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1) "
+    "SELECT source, doc_id, CAST(n_chars AS BIGINT) AS n_chars, taken FROM w"
+)
+def quota_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents each source may upload under a quota; refused ones do not count."""
+    return store.uploads(_table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 50000)
+
+
 @query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each content."""
@@ -564,14 +583,23 @@ def turn_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.runs(_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role")
 
 
-@query()
+@query(
+    "WITH e AS (SELECT vec_id // 100 AS rec, vec_id, label, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS n FROM embeddings), "
+    "c AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER w OR n = 1 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY rec ORDER BY vec_id)), "
+    "r AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS run FROM c), "
+    "t AS (SELECT rec, run, any_value(label) AS speaker, (min(n) - 1) * 0.1::DOUBLE AS s, max(n) * 0.1::DOUBLE AS e FROM r GROUP BY 1, 2), "
+    "a AS (SELECT *, sum(CASE WHEN run = 1 OR e - s >= 0.4::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY run ROWS UNBOUNDED PRECEDING) AS g FROM t), "
+    "b AS (SELECT rec, g, arg_min(speaker, run) AS speaker, min(s) AS s, arg_max(e, run) AS e FROM a GROUP BY 1, 2), "
+    "d AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY rec ORDER BY g) THEN 1 ELSE 0 END AS new FROM b), "
+    "f AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY g ROWS UNBOUNDED PRECEDING) AS h FROM d) "
+    "SELECT rec, CAST(h - 1 AS INT) AS turn, any_value(speaker) AS speaker, round(min(s), 6) AS start, round(max(e), 6) AS \"end\" FROM f GROUP BY rec, h"
+)
 def turn_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: label runs as turns, those under 0.4 s absorbed, neighbours merged."""
     e = _table(spark, sf_dir, "embeddings").withColumn("rec", F.floor(F.col("vec_id") / 100))
     runs = segments.runs(e, ["rec"], ["vec_id"], "label")
-    turn = F.struct(F.col("label").alias("speaker"), ((F.col("first") - 1) * F.lit(0.1)).alias("start"), (F.col("last") * F.lit(0.1)).alias("end"))
-    turns = runs.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(F.col("run"), turn.alias("t")))).alias("x"))
-    return turns.select("rec", F.posexplode(segments.folded_turns(F.transform("x", lambda p: p["t"]), 0.4)).alias("turn", "t")).select("rec", "turn", "t.speaker", "t.start", "t.end")
+    turns = runs.select("rec", "run", F.col("label").alias("speaker"), ((F.col("first") - 1) * F.lit(0.1)).alias("start"), (F.col("last") * F.lit(0.1)).alias("end"))
+    return _r(segments.merged_turns(turns, ["rec"], "run", 0.4), "start", "end")
 
 
 @query("SELECT label, round(count(*) * 0.01::DOUBLE, 1) AS speaking_s FROM embeddings GROUP BY label")
@@ -595,12 +623,16 @@ def cosine_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scalar.computed_once(e, z=F.greatest(F.sqrt(dot(F.col("c"), F.col("c"))), F.lit(1e-10)))
     e = scalar.computed_once(e, x=F.transform("c", lambda v: v / F.col("z"))).select("vec_id", "label", "x")
     means = e.select("label", F.posexplode("x")).groupBy("label", "pos").agg(F.avg("col").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda p: p["c"]).alias("c"))
-    # Labels are few: one row of 64 numbers each, gathered as one array for every vector.
-    every = means.agg(F.collect_list(F.struct("label", "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("z"))).alias("all"))
-    d = scalar.computed_once(e.crossJoin(F.broadcast(every)), d=F.transform("all", lambda k: F.struct(k["label"].alias("l"), (1 - dot(F.col("x"), k["c"]) / k["z"]).alias("d"))))
+    means = means.select("label", "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("z"))
+    # Every vector meets the centroids as arrays of some thousand at most, whatever their number.
+    blocks = -(-means.count() // LABELS) or 1
+    every = means.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "c", "z")).alias("all")).drop("block")
+    d = scalar.computed_once(e.crossJoin(F.broadcast(every) if blocks == 1 else every), d=F.transform("all", lambda k: F.struct(k["label"].alias("l"), (1 - dot(F.col("x"), k["c"]) / k["z"]).alias("d"))))
     own = F.element_at(F.filter("d", lambda k: k["l"] == F.col("label")), 1)["d"]
     other = F.array_min(F.transform(F.filter("d", lambda k: k["l"] != F.col("label")), lambda k: k["d"]))
     out = scalar.computed_once(d, own=own, other=other).select(F.col("vec_id").alias("rec"), "own", "other")
+    if blocks > 1:
+        out = out.groupBy("rec").agg(F.max("own").alias("own"), F.min("other").alias("other"))
     return _r(out.withColumn("silhouette", (F.col("other") - F.col("own")) / F.greatest("other", "own", F.lit(1e-10))), "own", "other", "silhouette", places=5)
 
 
@@ -615,7 +647,23 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", scalar.safe_name(path).alias("header"), scalar.storage_name(base).alias("stored"), scalar.redacted_path(path).alias("shown"))
 
 
-@query()
+_BEAT = "abs(sin(3.141592653589793::DOUBLE * 4 / 16000 * i)) * 0.5::DOUBLE * sin(6.283185307179586::DOUBLE * 150 / 16000 * i)"
+
+
+@query(
+    f"WITH RECURSIVE s AS (SELECT i, {_BEAT} AS x FROM (SELECT CAST(range AS INT) AS i FROM range(48000))), "
+    + _FRAMES.format(n=48000)
+    + f""", g AS (SELECT frame_idx AS i, {_DB.format('power')} AS db FROM f),
+h AS (SELECT i, power(10, db / 20) AS x, db > (SELECT max(db) FROM g) - 32 AS speech FROM g),
+k AS (SELECT d, (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (d + 2) / 4)) / 2 AS k FROM (SELECT unnest(range(-2, 3)) AS d)),
+y AS (SELECT a.i, any_value(a.speech) AS speech, sum(b.x * k) AS x FROM h a JOIN k ON true JOIN h b ON b.i = a.i + d GROUP BY a.i),
+m AS (SELECT *, lag(x) OVER (ORDER BY i) AS before, lead(x) OVER (ORDER BY i) AS after, max(x) OVER () AS top,
+  min(x) OVER (ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS l, min(x) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS r FROM y),
+z AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM m WHERE speech AND x > 0.25::DOUBLE * top AND x >= before AND x > after AND (x - greatest(l, r)) / x >= 0.5::DOUBLE),
+w AS (SELECT n, i AS last, 1 AS found FROM z WHERE n = 1 UNION ALL SELECT z.n, CASE WHEN z.i - w.last >= 12 THEN z.i ELSE w.last END, w.found + CASE WHEN z.i - w.last >= 12 THEN 1 ELSE 0 END FROM w JOIN z ON z.n = w.n + 1),
+c AS (SELECT coalesce((SELECT max(found) FROM w), 0) AS found, sum(CAST(speech AS INT)) * 0.01::DOUBLE AS speech_s FROM h)
+SELECT CAST(0 AS INT) AS rec, CAST(found AS INT) AS syllable_est, CASE WHEN speech_s > 0.2::DOUBLE THEN round(found / speech_s, 2) END AS articulation_rate_syl_per_s FROM c"""
+)
 def syllable_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q7, Q8: peaks of the smoothed envelope, 0.12 s apart, and the articulation rate, of a tone that
     swells four times a second."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phonolake.engine import AcousticEngine
 from phonolake.operators import segments, statistics
-from phonolake.plans.queries import QUERIES, query
+from phonolake.plans.queries import QUERIES, _r, query
 from phonolake.sources import audio, synthetic
 
 #: Recordings that the queries make.
@@ -54,6 +54,13 @@ def perturbation_by_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.jitter(p, ["path"], ["k"], "period_s").join(statistics.shimmer(p, ["path"], ["k"], "amp"), "path")
 
 
+@query()
+def segment_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: perturbation and harmonicity of each recording's longest voiced stretch, or of all of it."""
+    engine, v = _voices(spark)
+    return engine.analyze(v).select("path", "voice_quality_segment_s.*", "voice_quality.*", "hnr_db")
+
+
 @query()
 def lpc_formants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formant medians from the frame table."""
@@ -116,14 +123,21 @@ def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two recordings side by side, with Welch's test over their contours."""
     engine, v = _voices(spark)
     reports = engine.analyze(v.where(F.col("path").rlike("voice_0000[04]_")), contour=True)
-    return engine.compare(reports.where(F.col("path").contains("00000")), reports.where(F.col("path").contains("00004")))
+    return engine.compare(reports.where(F.col("path").contains("00000")), reports.where(F.col("path").contains("00004"))).drop("error")
 
 
-@query()
+@query(
+    "WITH s AS (SELECT o_orderpriority AS g, count(o_totalprice) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v, median(o_totalprice) AS med, stddev_pop(o_totalprice) AS sd FROM orders GROUP BY 1 HAVING count(o_totalprice) >= 5), "
+    "w AS (SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS df, (b.med - a.med) / sqrt((a.sd * a.sd + b.sd * b.sd) / 2) AS effect FROM s a JOIN s b ON a.g < b.g), "
+    # Simpson's rule over the density of Student's t from 0 to |t|, 2000 steps.
+    "i AS (SELECT group_a, group_b, sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(abs(t) * k / 2000, 2) / df, -(df + 1) / 2)) * abs(any_value(t)) / 6000 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(any_value(df) * pi()) AS area FROM w, (SELECT unnest(range(2001)) AS k) GROUP BY group_a, group_b) "
+    "SELECT group_a, group_b, n_a, n_b, round(t, 6) AS t, round(df, 4) AS df, round(effect, 6) AS effect, round(1 - 2 * area, 6) AS p, 1 - 2 * area < 0.05 AS significant FROM w JOIN i USING (group_a, group_b)"
+)
 def welch_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities for every pair of groups."""
     engine = AcousticEngine(spark)
-    return engine.with_probability(statistics.welch(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority", "o_totalprice"))
+    tested = engine.with_probability(statistics.welch(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority", "o_totalprice"))
+    return _r(_r(tested, "t", "effect", "p"), "df", places=4)
 
 
 __all__ = ["QUERIES"]
