@@ -24,6 +24,8 @@ from phonolake.operators import statistics
 from phonolake.sources.audio import decoded, recordings
 
 FORMANT_CEILING = 5500.0
+#: Metrics that two reports are compared by, and their units.
+COMPARED = {"f0_median_hz": "Hz", "jitter_percent": "%", "shimmer_db": "dB", "hnr_db": "dB"}
 _D, _I, _S, _B = pa.float64(), pa.int64(), pa.string(), pa.bool_()
 _shipped: set[str] = set()
 
@@ -158,6 +160,16 @@ def _rows(recs: DataFrame, kind: pa.StructType, make: Callable[[str, np.ndarray,
     return good.mapInArrow(run, from_arrow_schema(schema))
 
 
+#: A backend measures one recording: (path, samples, rate, contour, ceiling) to a dict of REPORT's fields.
+Backend = Callable[[str | None, np.ndarray, int, bool, float], dict]
+BACKENDS: dict[str, Backend] = {"native": measure}
+
+
+def register_backend(name: str, backend: Backend) -> None:
+    """Let `analyze` measure with another engine under that name, which its reports then carry."""
+    BACKENDS[name] = backend
+
+
 class AcousticEngine:
     """Queries over recordings: (path, sample_rate, samples, error)."""
 
@@ -173,14 +185,15 @@ class AcousticEngine:
 
     def analyze(self, recs: DataFrame, contour: bool = False, ceiling: float = FORMANT_CEILING, backend: str = "native") -> DataFrame:
         """One report a recording. Those that could not be read, or measured, have an error and nulls."""
-        if backend != "native":
-            raise ValueError(f"unknown backend: {backend}")
+        if backend not in BACKENDS:
+            raise ValueError(f"unknown backend: {backend}; there are {', '.join(sorted(BACKENDS))}")
+        measured = BACKENDS[backend]
 
         def make(path: str, x: np.ndarray, rate: int) -> list[dict]:
             try:
-                return [measure(path, x, rate, contour, ceiling)]
+                return [measured(path, x, rate, contour, ceiling) | {"path": path, "backend": backend}]
             except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-                return [{"path": path, "sample_rate_hz": rate, "error": str(e)}]
+                return [{"path": path, "sample_rate_hz": rate, "backend": backend, "error": str(e)}]
 
         good = _rows(recs, REPORT, make)
         bad = recs.where("samples IS NULL").select("path", F.coalesce("error", F.lit("no samples")).alias("error"))
@@ -248,16 +261,20 @@ class AcousticEngine:
 
     def compare(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """Two one-row reports: the metrics both have, their difference, and for pitch the effect size by
-        medians and, where both have contours, Welch's t with its probability."""
+        medians and, where both have contours, Welch's t with its probability. Reports without a metric in
+        common give one row that says so in `error`."""
         flat = lambda r: r.select(F.col("pitch.f0_median_hz").alias("f0_median_hz"), F.col("voice_quality.jitter_local_percent").alias("jitter_percent"), F.col("voice_quality.shimmer_local_db").alias("shimmer_db"), "hnr_db")
-        rows = statistics.metric_differences(flat(a), flat(b), {"f0_median_hz": "Hz", "jitter_percent": "%", "shimmer_db": "dB", "hnr_db": "dB"})
+        rows = statistics.metric_differences(flat(a), flat(b), COMPARED)
         sd = a.select(F.col("pitch.f0_std_hz").alias("sa")).crossJoin(b.select(F.col("pitch.f0_std_hz").alias("sb")))  # one row each
         pooled = F.sqrt((F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")) / 2)
         effect = F.when((F.col("metric") == "f0_median_hz") & (F.col("sa") != 0) & (F.col("sb") != 0) & (pooled > 1e-9), F.col("diff_b_minus_a") / pooled)
         rows = rows.crossJoin(sd).withColumn("cohens_d", effect).drop("sa", "sb")
         contour = lambda r, g: r.select(F.lit(g).alias("g"), F.explode("pitch_contour.f0_hz").alias("f0")).where("f0 IS NOT NULL")
         welch = self.with_probability(statistics.welch(contour(a, "a").union(contour(b, "b")), "g", "f0")).select(F.lit("f0_median_hz").alias("metric"), "t", "df", "p", "n_a", "n_b")
-        return rows.join(welch, "metric", "left")
+        found = rows.join(welch, "metric", "left")
+        # At most a row for each of COMPARED: the one row of range(1) stays where there is none.
+        whole = self.spark.range(1).select().join(found, F.lit(True), "left")
+        return whole.withColumn("error", F.when(F.col("metric").isNull(), "no metric in common"))
 
     def with_probability(self, tests: DataFrame, level: float = 0.05) -> DataFrame:
         """tests (t, df) with the two-sided p and whether it is under the level."""

@@ -88,3 +88,14 @@ def write_csv(reports: DataFrame, path: str) -> None:
 def write_json(reports: DataFrame, path: str) -> None:
     """One JSON object a line; undefined values are null."""
     reports.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_summary(summary: DataFrame, path: str, title: str = "Agreement") -> None:
+    """A table of few rows (one for each metric) as JSON lines under path/json and as a Markdown table
+    under path/markdown; undefined values are dashes there."""
+    write_json(summary.coalesce(1), f"{path}/json")
+    shown = [F.coalesce(F.format_number(f.name, 3) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string"), F.lit("–")) for f in summary.schema]
+    head = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "-|" * len(summary.columns)]
+    lines = summary.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "at int, value string")
+    rows = summary.select(F.lit(len(head)).alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("value"))
+    lines.unionByName(rows).coalesce(1).sortWithinPartitions("at", "value").select("value").write.mode("overwrite").text(f"{path}/markdown")

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phonolake.kernels.audio import add_noise, resample
+from phonolake.kernels.audio import add_noise, resample, to_rate
 from phonolake.sources.audio import RECORDINGS
 
 CONDITIONS = ("clean", "breathy", "8 kHz", "muffled")
@@ -82,3 +83,64 @@ def conditions(recordings: DataFrame, jobs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{name.as_py()}_{path.as_py()}"]), pa.array([rate.as_py() * up.as_py() // down.as_py()], pa.int32()), pa.array([y], pa.list_(pa.float64())), pa.array([None], pa.string())], names=["path", "sample_rate", "samples", "error"])
 
     return crossed.select("path", "sample_rate", "samples", "condition", "up", "down", "snr_db").mapInArrow(run, RECORDINGS)
+
+
+#: The recordings made from a read corpus, fixed values: speakers, the utterances kept as they are,
+#: (speaker, utterance, rate) to resample, (speaker, utterance, decibels) to add noise to, and the
+#: telephone band's speakers, utterances and rate.
+SPEAKERS = ("bdl", "rms", "slt", "clb")
+CLEAN = range(1, 21)
+RESAMPLED = (
+    ("bdl", 21, 44100), ("bdl", 22, 44100), ("slt", 21, 44100), ("slt", 22, 44100), ("rms", 21, 44100),
+    ("clb", 21, 22050), ("clb", 22, 22050), ("slt", 23, 22050), ("bdl", 23, 22050), ("rms", 22, 22050),
+)
+NOISY = (
+    ("bdl", 24, 20.0), ("slt", 24, 20.0), ("rms", 24, 15.0), ("clb", 24, 15.0), ("bdl", 25, 10.0),
+    ("slt", 25, 10.0), ("rms", 25, 5.0), ("clb", 25, 5.0), ("rms", 23, 0.0), ("clb", 23, 0.0),
+)
+TELEPHONE = (("bdl", "slt"), range(1, 6), 8000)
+#: Recordings that each set must come to.
+EXPECTED = {"main": 100, "telephony": 10}
+
+
+def jobs(spark: SparkSession) -> DataFrame:
+    """(speaker, utterance, part, tag, rate, snr_db): what is to be made of which recording."""
+    made = [(s, n, "main", "", None, None) for s in SPEAKERS for n in CLEAN]
+    made += [(s, n, "main", f"_sr{r // 1000}k", r, None) for s, n, r in RESAMPLED]
+    made += [(s, n, "main", f"_snr{int(d)}db", None, d) for s, n, d in NOISY]
+    made += [(s, n, "telephony", f"_sr{TELEPHONE[2] // 1000}k", TELEPHONE[2], None) for s in TELEPHONE[0] for n in TELEPHONE[1]]
+    return spark.createDataFrame(made, "speaker string, utterance int, part string, tag string, rate int, snr_db double")
+
+
+def derived(recordings: DataFrame) -> DataFrame:
+    """The recordings of `jobs`, made from those whose names hold speaker and utterance (bdl_.._a0001.wav),
+    with their part. A job without its recording makes none; `complete` tells."""
+    name = F.substring_index("path", "/", -1)
+    named = recordings.where("error IS NULL").select(
+        F.regexp_extract(name, r"^([a-z]+)_", 1).alias("speaker"),
+        F.regexp_extract(name, r"a(\d{4})\.wav$", 1).try_cast("int").alias("utterance"),
+        F.col("sample_rate").alias("own_rate"),
+        "samples",
+    )
+    joined = named.join(F.broadcast(jobs(recordings.sparkSession)), ["speaker", "utterance"])  # 110 jobs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for speaker, utterance, own, x, part, tag, rate, snr in zip(*(batch.column(i) for i in range(8)), strict=True):
+                target = rate.as_py() or own.as_py()
+                y = to_rate(x.values.to_numpy(zero_copy_only=False), own.as_py(), target)
+                path = f"{speaker}_a{utterance.as_py():04d}{tag}.wav"
+                if snr.is_valid:
+                    y = add_noise(y, snr.as_py(), sum(path.encode()))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([target], pa.int32()), pa.array([y], pa.list_(pa.float64())), pa.array([None], pa.string()), pa.array([part.as_py()])], names=["path", "sample_rate", "samples", "error", "part"])
+
+    slim = joined.select("speaker", "utterance", "own_rate", "samples", "part", "tag", "rate", "snr_db")
+    return slim.mapInArrow(run, f"{RECORDINGS}, part string")
+
+
+def complete(made: DataFrame) -> DataFrame:
+    """made, if each part has as many recordings as it must."""
+    found = {r.part: r["count"] for r in made.groupBy("part").count().collect()}  # two parts
+    if found != EXPECTED:
+        raise ValueError(f"recordings by part: {found}, expected {EXPECTED}")
+    return made
