@@ -39,3 +39,33 @@ def test_measurements(spark, history):
     assert [(r.ts, r.file) for r in history.measurements_of("u").collect()] == [(100.0, "a.wav"), (1000.0, "d")]
     history.clear("u")
     assert history.measurements_of("u").count() == 0
+
+
+def test_compaction_changes_no_view(spark, history):
+    a = history.exchange("u", None, "question", "answer", ["x.wav"])
+    b = history.exchange("u", None, "second", "answer")
+    c = history.exchange("v", None, "third", "answer")
+    for k in range(4):
+        history.touch(b, f"title {k}", at=2e9 + k)
+    history.delete(c)
+    rows = [("u", str(100 + k), "a.wav", "120.5", None, None, "20") for k in range(3)]
+    kinds = "user_key string, ts string, file string, f0 string, jitter string, shimmer string, hnr string"
+    history.measure(spark.createDataFrame(rows, kinds), now=1000.0)
+    history.measure(spark.createDataFrame([("w", *r[1:]) for r in rows], kinds), now=1000.0)
+    history.clear("w")
+    views = lambda: [sorted(map(tuple, v().collect()), key=repr) for v in (history.conversations, history.messages, history.measurements)]
+    before = views()
+    assert [len(v) for v in before] == [2, 4, 3]
+    for name in ("messages", "conversations", "measurements"):
+        history.compact(name)
+    assert views() == before
+    assert history.log("conversations").count() == 3 and history.log("messages").count() == 4 and history.log("measurements").count() == 3
+    assert history.owner(c) is None and history.messages_of(c).count() == 0 and history.messages_of(a).first()["files"] == ["x.wav"]
+    history.add_messages(a, [("user", "more", [])])
+    assert history.messages_of(a).count() == 3 and history.listed("u").count() == 2
+
+
+def test_one_key_reads_one_folder(history):
+    a = history.exchange("u", None, "question", "answer")
+    plan = history.log("messages", a)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
