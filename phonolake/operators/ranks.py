@@ -15,12 +15,28 @@ from pyspark.sql import functions as F
 PARTS = 64
 
 
+def _cuts(rows: DataFrame, columns: list[str], parts: int) -> list[list[float]]:
+    """For each numeric column the values that cut it into ranges."""
+    found = rows.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).approxQuantile([f"v{i}" for i in range(len(columns))], [i / parts for i in range(1, parts)], 0.25 / parts)
+    return [sorted(set(cuts)) for cuts in found]
+
+
+def _range(value: Column, cuts: list[float]) -> Column:
+    """How many cuts lie under a value, by halving: it never falls as the value grows; null is in the
+    first range, NaN in the last."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value <= F.lit(cuts[mid]), among(low, mid)).otherwise(among(mid + 1, high))
+
+    return F.when(value.isNull(), 0).otherwise(among(0, len(cuts)))
+
+
 def ranged(rows: DataFrame, column: str, parts: int = PARTS, out: str = "__range") -> DataFrame:
-    """rows with the number of their range: it never falls as the (numeric) column grows; nulls and NaN
-    are in the first and the last. Equal values share a range."""
-    cuts = sorted(set(rows.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(column).cast("double")))
-    return rows.withColumn(out, F.when(F.col(column).isNull(), 0).otherwise(above))
+    """rows with the number of their range of the (numeric) column. Equal values share a range."""
+    return rows.withColumn(out, _range(F.col(column), _cuts(rows, [column], parts)[0]))
 
 
 def _offsets(ranges: DataFrame, by: list[str], value: Column, name: str, down: bool = False) -> DataFrame:
@@ -63,18 +79,24 @@ def upper_half(rows: DataFrame, by: list[str], value: str, tie: list[str], least
     return near.where(inside).drop(*helpers).unionByName(edge.drop("__rank", *helpers))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], out: str) -> DataFrame:
-    """(by, out): for each group the exact quantiles of its values that are not null, interpolated, as an
-    array. Only rows of ranges that hold a wanted rank are ranked."""
-    cut = ranged(rows.where(F.col(value).isNotNull()), value)
-    counts = _offsets(cut.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n")), by, F.col("__n"), "__below")
-    total = F.sum("__n").over(Window.partitionBy(*by))
+def quantiles(rows: DataFrame, by: list[str], values: list[str], shares: list[float], out: str, like: DataFrame | None = None) -> DataFrame:
+    """(by, out): for each group the exact quantiles, interpolated, of each column's values that are not
+    null, as an array of arrays; null where there is no value. Only rows of ranges that hold a wanted rank
+    are ranked. The ranges are cut by `like`, a table with those columns that is cheaper to read than
+    rows; it only has to spread alike."""
+    own = [F.struct(F.lit(i).alias("__m"), F.col(v).cast("double").alias("__v"), _range(F.col(v), cuts).alias("__range")) for i, (v, cuts) in enumerate(zip(values, _cuts(rows if like is None else like, values, PARTS), strict=True))]
+    cut = rows.select(*by, F.inline(F.array(*own))).where("__v IS NOT NULL")
+    keys = [*by, "__m"]
+    counts = _offsets(cut.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n")), keys, F.col("__n"), "__below")
+    total = F.sum("__n").over(Window.partitionBy(*keys))
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("__total") - 1) * s), F.ceil((F.col("__total") - 1) * s)) for s in shares])))
-    own = F.filter(wanted, lambda r: (r >= F.col("__below")) & (r < F.col("__below") + F.col("__n")))
-    counts = counts.withColumn("__total", total).withColumn("__ranks", own).where(F.size("__ranks") > 0)
-    w = Window.partitionBy(*by, "__range").orderBy(value)
-    ranked = _joined(cut, counts, by).withColumn("__rank", F.col("__below") + F.row_number().over(w) - 1).where(F.array_contains("__ranks", F.col("__rank")))
-    held = ranked.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__rank", F.col(value).cast("double")))).alias("__at"), F.first("__total").alias("__total"))
+    held = F.filter(wanted, lambda r: (r >= F.col("__below")) & (r < F.col("__below") + F.col("__n")))
+    counts = counts.withColumn("__total", total).withColumn("__ranks", held).where(F.size("__ranks") > 0)
+    w = Window.partitionBy(*keys, "__range").orderBy("__v")
+    ranked = _joined(cut, counts, keys).withColumn("__rank", F.col("__below") + F.row_number().over(w) - 1).where(F.array_contains("__ranks", F.col("__rank")))
+    found = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"), F.first("__total").alias("__total"))
     place = [(F.col("__total") - 1) * F.lit(s) for s in shares]
     low, high = [[F.element_at("__at", f(p)) for p in place] for f in (F.floor, F.ceil)]
-    return held.select(*by, F.array(*[a + (b - a) * (p - F.floor(p)) for a, b, p in zip(low, high, place, strict=True)]).alias(out))
+    each = F.array(*[a + (b - a) * (p - F.floor(p)) for a, b, p in zip(low, high, place, strict=True)])
+    every = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__m", each))).alias("__q"))
+    return every.select(*by, F.array(*[F.element_at("__q", F.lit(i)) for i in range(len(values))]).alias(out))

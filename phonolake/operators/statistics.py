@@ -60,8 +60,8 @@ def pitch_summary(frames: DataFrame, by: list[str], f0: str, voiced: Column) ->
         F.min(v).alias("f0_min_hz"),
         F.max(v).alias("f0_max_hz"),
     )
-    middle = ranks.quantiles(frames.where(voiced).select(*by, F.col(f0).alias("__f0")), by, "__f0", [0.5], "__q")
-    joined = _beside(whole, middle, by).withColumn("f0_median_hz", F.get("__q", F.lit(0)))
+    middle = ranks.quantiles(frames.where(voiced).select(*by, F.col(f0).alias("__f0")), by, ["__f0"], [0.5], "__q", frames.select(F.col(f0).alias("__f0")))
+    joined = _beside(whole, middle, by).withColumn("f0_median_hz", F.get(F.get("__q", F.lit(0)), F.lit(0)))
     return joined.select(*by, "voiced_ratio", "n_voiced_frames", "f0_mean_hz", "f0_median_hz", "f0_std_hz", "f0_min_hz", "f0_max_hz")
 
 
@@ -76,19 +76,18 @@ def energetic_half(frames: DataFrame, by: list[str], energy: str, tie: list[str]
     return ranks.upper_half(frames, by, energy, tie)
 
 
-def formant_summary(frames: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+def formant_summary(frames: DataFrame, by: list[str], names: list[str], like: DataFrame | None = None) -> DataFrame:
     """Median and quartile distance of each formant over frames that have all, and its confidence:
-    how often it was found, times how little it scatters."""
+    how often it was found, times how little it scatters. For like see `ranks.quantiles`."""
     full = F.lit(True)
     for n in names:
         full = full & F.col(n).isNotNull()
     found = [F.avg(F.col(n).isNotNull().cast("int")).alias(f"__c_{n}") for n in names]
     out = frames.groupBy(*by).agg(F.sum(full.cast("long")).alias("n_frames"), *found)
-    whole = frames.where(full)
+    out = _beside(out, ranks.quantiles(frames.where(full).select(*by, *names), by, names, [0.25, 0.5, 0.75], "__q", like), by)
     cols = [*by, "n_frames"]
-    for n in names:
-        out = _beside(out, ranks.quantiles(whole.select(*by, F.col(n).cast("double").alias(n)), by, n, [0.25, 0.5, 0.75], f"__{n}"), by)
-        q = F.col(f"__{n}")
+    for k, n in enumerate(names):
+        q = F.col("__q")[k]
         iqr = q[2] - q[0]
         stable = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - iqr / (0.2 * F.greatest(q[1], F.lit(1.0)))))
         cols += [q[1].alias(f"{n}_hz"), iqr.alias(f"{n}_iqr_hz"), (F.col(f"__c_{n}") * stable).alias(f"{n}_confidence")]

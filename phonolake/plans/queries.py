@@ -333,8 +333,8 @@ _FORMANTS = "CASE WHEN l_linenumber < 7 THEN l_extendedprice END"
 )
 def formant_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians, quartile distances and confidence of three measures over the upper half."""
-    f = _half(spark, sf_dir).select("l_returnflag", (F.col("l_quantity") * 20).alias("f1"), (F.col("l_extendedprice") / 10).alias("f2"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 5).alias("f3"))
-    out = statistics.formant_summary(f, ["l_returnflag"], ["f1", "f2", "f3"])
+    measured = lambda rows: rows.select("l_returnflag", (F.col("l_quantity") * 20).alias("f1"), (F.col("l_extendedprice") / 10).alias("f2"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 5).alias("f3"))
+    out = statistics.formant_summary(measured(_half(spark, sf_dir)), ["l_returnflag"], ["f1", "f2", "f3"], measured(_table(spark, sf_dir, "lineitem")))
     return _r(out, *[c for c in out.columns if c.startswith("f")], places=4)
 
 

@@ -36,15 +36,17 @@ def test_upper_halves(rows):
 
 def test_quantiles(rows):
     shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
-    got = {r.g: r.q for r in ranks.quantiles(rows, ["g"], "v", shares, "q").collect()}
-    held = {}
-    for r in rows.where("v IS NOT NULL").collect():
-        held.setdefault(r.g, []).append(r.v)
-    assert got.keys() == held.keys()
-    for g, values in held.items():
-        assert got[g] == pytest.approx(np.quantile(values, shares).tolist())
+    got = {r.g: r.q for r in ranks.quantiles(rows, ["g"], ["v", "n"], shares, "q").collect()}
+    for i, c in enumerate(("v", "n")):
+        held = {}
+        for r in rows.collect():
+            if r[c] is not None:
+                held.setdefault(r.g, []).append(r[c])
+        assert {g for g in got if got[g][i] is not None} == held.keys()
+        for g, values in held.items():
+            assert got[g][i] == pytest.approx(np.quantile(values, shares).tolist())
 
 
 def test_nothing(rows):
     none = rows.limit(0)
-    assert ranks.running_sum(none, ["g"], ["at"], "n", "used").count() == ranks.upper_half(none, ["g"], "v", ["id"]).count() == ranks.quantiles(none, ["g"], "v", [0.5], "q").count() == 0
+    assert ranks.running_sum(none, ["g"], ["at"], "n", "used").count() == ranks.upper_half(none, ["g"], "v", ["id"]).count() == ranks.quantiles(none, ["g"], ["v"], [0.5], "q").count() == 0
