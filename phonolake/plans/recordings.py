@@ -10,46 +10,47 @@ from phonolake.operators import segments, statistics
 from phonolake.plans.queries import QUERIES, _r, query
 from phonolake.sources import audio, synthetic
 
-#: Recordings that the queries make.
-VOICES = 16
+#: Recordings that the queries make: so many, and one more for every so many suppliers.
+VOICES, SUPPLIERS = 16, 10
 
 
-def _voices(spark: SparkSession) -> tuple[AcousticEngine, DataFrame]:
-    return AcousticEngine(spark), synthetic.voices(spark, VOICES)
+def _voices(spark: SparkSession, sf_dir: str) -> tuple[AcousticEngine, DataFrame]:
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    return AcousticEngine(spark), synthetic.voices(spark, VOICES + n // SUPPLIERS)
 
 
 @query()
 def analyze_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: one flat line for each recording."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.batch_rows(engine.analyze(v))
 
 
 @query()
 def pitch_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pitch frames."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.pitch_frames(v)
 
 
 @query()
 def pitch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voiced segments from the frame table."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return segments.islands(engine.pitch_frames(v).where("voiced"), ["path"], "t_s", 0.1, ["frame"], 0.3)
 
 
 @query()
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: glottal periods."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.periods(v)
 
 
 @query()
 def perturbation_by_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2, V3 over the table of periods."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     p = engine.periods(v)
     return statistics.jitter(p, ["path"], ["k"], "period_s").join(statistics.shimmer(p, ["path"], ["k"], "amp"), "path")
 
@@ -57,14 +58,14 @@ def perturbation_by_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def segment_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: perturbation and harmonicity of each recording's longest voiced stretch, or of all of it."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.analyze(v).select("path", "voice_quality_segment_s.*", "voice_quality.*", "hnr_db")
 
 
 @query()
 def lpc_formants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formant medians from the frame table."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     half = statistics.energetic_half(engine.formant_frames(v).where("voiced"), ["path"], "energy", ["frame"])
     return statistics.formant_summary(half, ["path"], ["F1", "F2", "F3"])
 
@@ -72,35 +73,35 @@ def lpc_formants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def formant_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formants along each recording, thinned for a plot."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.formant_track(engine.formant_frames(v), 20)
 
 
 @query()
 def log_band_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band levels by frame."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.log_bands(v)
 
 
 @query()
 def spectrogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: pooled levels by frequency and time."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.spectrograms(v)
 
 
 @query()
 def diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 to K6: turns by speaker."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     return engine.diarize(v).select("path", "n_speakers", F.explode("turns").alias("turn")).select("path", "n_speakers", "turn.*")
 
 
 @query()
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings as WAVE bytes, read back at 11 kHz."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     files = audio.encoded(v)
     back = engine.decoded(files, 11000).select("path", "sample_rate", F.size("samples").alias("n_samples"), "error")
     return back.join(audio.file_info(files).select("path", "duration_s"), "path")
@@ -109,7 +110,7 @@ def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def condition_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker on clean recordings against itself under noise and resampling."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     v = v.where("sample_rate = 16000")
     jobs = spark.createDataFrame([("22k", 11, 8, None), ("snr10db", 1, 1, 10.0)], "condition string, up int, down int, snr_db double")
     clean, changed = engine.pitch_frames(v), engine.pitch_frames(synthetic.conditions(v, jobs))
@@ -121,7 +122,7 @@ def condition_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two recordings side by side, with Welch's test over their contours."""
-    engine, v = _voices(spark)
+    engine, v = _voices(spark, sf_dir)
     reports = engine.analyze(v.where(F.col("path").rlike("voice_0000[04]_")), contour=True)
     return engine.compare(reports.where(F.col("path").contains("00000")), reports.where(F.col("path").contains("00004"))).drop("error")
 
