@@ -111,6 +111,21 @@ def power_spectrum(signal: DataFrame, n: int, bins: int) -> DataFrame:
     return parts.select("rec", "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
 
 
+def log_bands(spectrum: DataFrame, rate: float, n: int, bands: int = 20) -> DataFrame:
+    """(rec, band, level) of power spectra (rec, bin, power) of n points: log amplitudes in triangular
+    bands, geometric from 80 Hz to 6 kHz or just under half the rate."""
+    top = min(6000.0, rate / 2 - 200.0)
+    edge = [80.0 * (top / 80.0) ** (k / (bands + 1)) for k in range(bands + 2)]
+    hz = [k * rate / n for k in range(n // 2 + 1)]
+    share = lambda f, low, mid, high: max(0.0, min((f - low) / max(mid - low, 1e-9), (high - f) / max(high - mid, 1e-9)))
+    rows = [(k, b, share(f, *edge[b : b + 3])) for k, f in enumerate(hz) for b in range(bands)]
+    rows = [r for r in rows if r[2] > 0 or r[0] == 0]  # bin 0 stands for bands without any
+    weights = spectrum.sparkSession.createDataFrame(rows, "__bin int, band int, __w double")
+    joined = spectrum.join(F.broadcast(weights), F.col("bin") == F.col("__bin"))  # two rows a bin, and one a band
+    energy = F.greatest(F.sum(F.col("power") * F.col("__w")), F.lit(1e-12))
+    return joined.groupBy("rec", "band").agg(F.log(F.sqrt(energy) + F.lit(1e-10)).alias("level"))
+
+
 def harmonicity(arrays: DataFrame, rec: str, x: Column, lag: int) -> DataFrame:
     """(rec, hnr_db) of one frame each: the normalised correlation at the lag as harmonics to noise.
     NULL where the frame is silent or the correlation is not positive."""

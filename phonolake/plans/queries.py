@@ -226,6 +226,30 @@ def spectrum_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(signal.power_spectrum(_vectors(spark, sf_dir), 64, 33), "power", places=5)
 
 
+_SPECTRUM = "b AS (SELECT unnest(range(33)) AS bin), t AS (SELECT rec, bin, sum(x * cos(-2 * pi() / 64 * ((bin * i) % 64))) AS re, sum(x * sin(-2 * pi() / 64 * ((bin * i) % 64))) AS im FROM {}, b GROUP BY rec, bin), s AS (SELECT rec, bin, re * re + im * im AS power FROM t)"
+
+
+@query(f"WITH {_UNNEST}, {_SPECTRUM.format('v')} SELECT rec, CAST(bin // 2 AS BIGINT) AS block, round(avg({_DB.format('power')}), 4) AS level_db FROM s WHERE bin < 32 GROUP BY rec, bin // 2")
+def spectrum_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: levels of the spectrum, pooled to at most 20 blocks."""
+    s = signal.power_spectrum(_vectors(spark, sf_dir), 64, 33).select("rec", F.col("bin").alias("i"), scalar.db(F.col("power")).alias("x"))
+    return _r(signal.pooled(s, 33, 20).withColumnRenamed("x", "level_db"), "level_db", places=4)
+
+
+@query(
+    f"WITH {_UNNEST}, w AS (SELECT rec, i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63)) AS x FROM v), {_SPECTRUM.format('w')}, "
+    "e AS (SELECT k AS band, 80 * power(1080 / 80.0::DOUBLE, k / 21.0::DOUBLE) AS low, 80 * power(1080 / 80.0::DOUBLE, (k + 1) / 21.0::DOUBLE) AS mid, 80 * power(1080 / 80.0::DOUBLE, (k + 2) / 21.0::DOUBLE) AS high FROM (SELECT unnest(range(20)) AS k)), "
+    "a AS (SELECT rec, band, sum(power * greatest(0, least((bin * 40 - low) / (mid - low), (high - bin * 40) / (high - mid)))) AS energy FROM s, e GROUP BY rec, band) "
+    "SELECT rec, CAST(band AS INT) AS band, round(ln(sqrt(greatest(energy, 1e-12)) + 1e-10), 4) AS level FROM a"
+)
+def log_band_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each array as one frame at 2560 Hz, under a raised cosine, in 20 bands."""
+    e = _table(spark, sf_dir, "embeddings")
+    under = F.zip_with(F.col("embedding").cast("array<double>"), F.array(*[F.lit(v) for v in scalar.hann(64)]), lambda a, b: a * b)
+    rows = signal.samples(e.select("vec_id", under.alias("embedding")), "vec_id", "embedding")
+    return _r(signal.log_bands(signal.power_spectrum(rows, 64, 33), 2560.0, 64), "level", places=4)
+
+
 @query(
     f"WITH {_UNNEST}, c AS (SELECT rec, i, x - avg(x) OVER (PARTITION BY rec) AS x FROM v), "
     "p AS (SELECT a.rec, sum(a.x * b.x) AS num, sum(a.x * a.x) AS e1, sum(b.x * b.x) AS e2 FROM c a JOIN c b ON a.rec = b.rec AND b.i = a.i + 5 GROUP BY a.rec), "

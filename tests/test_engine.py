@@ -216,3 +216,15 @@ def test_nearest_keeps_repeated_rows(spark):
     b = spark.createDataFrame([("p", 0.8, 1), ("p", 1.2, 2), ("p", 1.2, 2), ("q", 1.4, 7)], "path string, t double, y int")
     got = sorted(nearest(a, b, ["path"], "t", 0.5).collect())
     assert [(r.path, r.t, r.b_t, r.b_y) for r in got] == [("p", 1.0, 1.2, 2), ("p", 1.0, 1.2, 2), ("q", 1.0, 1.4, 7)]
+
+
+def test_bands_of_a_spectrum_are_the_kernels(spark):
+    from phonolake.kernels import frames
+    from phonolake.operators import signal
+
+    x = vowel(140, [500, 1500, 2500], seconds=0.025)
+    length = frames.lengths(RATE)[0]
+    power = np.square(np.abs(np.fft.rfft(frames.frames(x, *frames.lengths(RATE))[0] * np.hanning(length))))
+    table = spark.createDataFrame([(0, k, float(p)) for k, p in enumerate(power)], "rec int, bin int, power double")
+    got = [r.level for r in signal.log_bands(table, RATE, length).orderBy("band").collect()]
+    assert got == pytest.approx(frames.log_bands(x, RATE)[0].tolist())
