@@ -264,8 +264,9 @@ def links(distinct: DataFrame, patterns: Patterns, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between ids that connect distinct (id, f0 ..) just as all links do that meet under a pattern."""
     ship(distinct.sparkSession)
     fields, radius, width = _fields(patterns.width), patterns.radius, patterns.width
-    put = distinct.select("id", *fields, F.inline(_keyed(patterns.masks))).withColumn("rest", F.lit(-1).cast("long"))
-    crowded = materialize(put.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "crowded")
+    pattern = F.xxhash64("mask", "pattern")  # patterns that clash only meet in one task
+    put = distinct.select("id", *fields, F.inline(_keyed(patterns.masks))).withColumn("at", pattern)
+    crowded = materialize(put.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "crowded")
     if crowded.limit(1).count():
         finer = [_keyed(masks) for masks in patterns.finer]
         picked = finer[0]
@@ -273,23 +274,22 @@ def links(distinct: DataFrame, patterns: Patterns, hot: int = HOT) -> DataFrame:
             picked = F
             for i, choice in enumerate(finer):
                 picked = picked.when(F.col("mask") == i, choice)
-        inside = F.transform(picked, lambda p: F.xxhash64(p["mask"], p["pattern"]))
-        split = put.drop("rest").join(crowded, ["mask", "pattern"]).withColumn("rest", F.explode(inside))
-        put = put.join(crowded, ["mask", "pattern"], "left_anti").unionByName(split)
+        inside = F.transform(picked, lambda p: F.xxhash64("at", p["mask"], p["pattern"]))
+        split = put.join(crowded, "at").withColumn("at", F.explode(inside))
+        put = put.join(crowded, "at", "left_anti").unionByName(split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.empty((0, width + 4), np.int64)
+        carry = np.empty((0, width + 2), np.int64)
         for batch in batches:
             rows = np.concatenate([carry, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
-            new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            new = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
             cut = new[-1] if len(new) else 0  # the last pattern may go on in the next batch
-            yield from _edges(rows[:cut, 3], rows[:cut, 4:], np.concatenate(([0], new[:-1])) if len(new) else new, radius)
+            yield from _edges(rows[:cut, 1], rows[:cut, 2:], np.concatenate(([0], new[:-1])) if len(new) else new, radius)
             carry = rows[cut:]
         if len(carry):
-            yield from _edges(carry[:, 3], carry[:, 4:], np.array([0]), radius)
+            yield from _edges(carry[:, 1], carry[:, 2:], np.array([0]), radius)
 
-    placed = put.repartition("mask", "pattern", "rest").sortWithinPartitions("mask", "pattern", "rest")
-    placed = placed.select(F.col("mask").cast("long").alias("mask"), "pattern", "rest", "id", *fields)
+    placed = put.select("at", "id", *fields).repartition("at").sortWithinPartitions("at")
     return placed.mapInArrow(run, "a long, b long")
 
 
@@ -387,7 +387,8 @@ def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity:
     # A table of its own, so that the join below may split a crowded label.
     sizes = materialize(members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     wanted = members.join(sizes, "label").select("r1", "r2", "label", F.ceil(F.col("n") / SPLIT).alias("deals"))
-    held = rows.join(materialize(wanted, "wanted"), ["r1", "r2"]).withColumn("deal", F.pmod("r2", "deals"))
+    # The same plan at every size: texts are dealt by their keys, and candidates go to them.
+    held = rows.join(materialize(wanted, "wanted").hint("merge"), ["r1", "r2"]).withColumn("deal", F.pmod("r2", "deals"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
     # With several deals, each is compared in itself wherever it meets another.
     held = held.where("deals = 1 OR deal <> other").select("label", F.least("deal", "other").alias("low"), F.greatest("deal", "other").alias("high"), "r2", "text")
