@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import materialize
+from phonolake.llm.common import materialize, release
 
 
 #: A path of n nodes settles in a number of rounds that grows as log n squared at most.
@@ -32,7 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        star = materialize(small.union(large.where("u = v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"star{turn}")
+        made = materialize(small.union(large.where("u = v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"star{turn}")
+        if last is not None:
+            release(star)
+        star = made
         mark = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break
@@ -40,4 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # A table of its own, so that joins with it may split a crowded node.
-    return materialize(star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "components")
+    found = materialize(star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "components")
+    release(star)
+    return found
