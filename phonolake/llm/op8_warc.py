@@ -2,7 +2,8 @@
 
 Writing: each page is a record; a payload past SEGMENT_BYTES goes on in
 continuation records (segment numbers and origin id, as the format has them), so
-no line of an archive is long. Of equal payloads of REVISIT_BYTES or more, the
+no line of an archive is long; records leave one by one, cut from the payload
+where Arrow holds it. Of equal payloads of REVISIT_BYTES or more, the
 one with the smallest id is the response and the others are revisits that carry
 only their HTTP head. Spark's text sink writes the archives, gzipped, so any
 file system Spark knows will do.
@@ -55,33 +56,35 @@ def _id(key: object) -> str:
     return f"<urn:x-page:{'' if key is None else quote(str(key), safe='')}>"
 
 
-def _segments(body: bytes) -> Iterator[bytes]:
-    """body in parts of SEGMENT_BYTES at most, cut between characters."""
+def _cuts(body: memoryview) -> Iterator[tuple[int, int]]:
+    """Where the parts of SEGMENT_BYTES at most begin and end, cut between characters."""
     at = 0
     while True:
         end = min(at + SEGMENT_BYTES, len(body))
         while end < len(body) and body[end] & 0xC0 == 0x80:
             end -= 1
-        yield body[at:end]
+        yield at, end
         at = end
         if at == len(body):
             return
 
 
-def records(key: object, url: str, payload: str, digest: str, refers_to: object) -> Iterator[bytes]:
-    """The WARC records of one page, each without its last line feed, which the sink adds."""
-    body, own = payload.encode(), _id(key)
-    uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~")
+def records(key: object, url: str, payload: memoryview | str, digest: str, refers_to: object) -> Iterator[bytes]:
+    """The WARC records of one page, one at a time, each without its last line feed, which the sink
+    adds. A payload in a buffer stays where it is; only the segment at hand is copied."""
+    body = memoryview(payload.encode()) if isinstance(payload, str) else payload
+    own, uri = _id(key), quote(url, safe=":/?#[]@!$&'()*+,;=%~")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     revisit = refers_to is not None
-    parts = [b""] if revisit else list(_segments(body))
-    for number, part in enumerate(parts, 1):
-        block = http + part if number == 1 else part
+    several = len(body) > SEGMENT_BYTES and not revisit
+    for number, (at, end) in enumerate([(0, 0)] if revisit else _cuts(body), 1):
+        block = bytes(body[at:end])
+        block = http + block if number == 1 else block
         head = [f"WARC-Type: {'continuation' if number > 1 else 'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own if number == 1 else own[:-1] + f':{number}>'}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}"]
         if revisit:
             head += [f"WARC-Refers-To: {_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        if len(parts) > 1:
-            head += [f"WARC-Segment-Number: {number}"] + ([f"WARC-Segment-Origin-ID: {own}"] if number > 1 else []) + ([f"WARC-Segment-Total-Length: {len(http) + len(body)}"] if number == len(parts) else [])
+        if several:
+            head += [f"WARC-Segment-Number: {number}"] + ([f"WARC-Segment-Origin-ID: {own}"] if number > 1 else []) + ([f"WARC-Segment-Total-Length: {len(http) + len(body)}"] if end == len(body) else [])
         head += [f"Content-Type: {'application/http; msgtype=response' if number == 1 else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
         yield b"WARC/1.1\r\n" + "\r\n".join(head).encode() + _TRAILER + block + _TRAILER[:-1]
 
@@ -95,8 +98,10 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(5)), strict=True):
-                for record in records(*(x.as_py() for x in row)):
+            bodies = batch.column(2).cast(pa.binary())
+            for i in range(batch.num_rows):
+                own, address, digest, refers_to = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4))
+                for record in records(own, address, memoryview(bodies[i].as_buffer()), digest, refers_to):
                     held.append(record)
                     size += len(record)
                     if size >= BATCH_BYTES:
