@@ -4,12 +4,18 @@ The model is a logistic regression over hashed character n-grams of host and
 path. It is fitted once on the driver from a small labelled table (at most
 TRAIN_ROWS rows, the ones whose urls hash lowest, so any run picks the same) and
 becomes BUCKETS weights inside the plan; scoring is DataFrame functions only and
-needs no shuffle.
+needs no shuffle. `labelled_urls` is the table that comes with the package: hosts
+named after a subject that is blocked (gambling, drugs, adult, adverts and
+tracking, spam, scams, malware) or allowed, with the same companions, prefixes,
+suffixes and paths on either side, so that nothing but the subject tells them
+apart. Any other table of url and label will do, and `ruled_urls` makes one from
+the rules where these are to be carried on to other hosts.
 
 Defined results: a null url, or one without "://", has an empty host and path;
-repeated rows are judged alike, one by one; an empty table gives an empty
-result; without labelled rows of both kinds the model allows everything; columns
-other than id and url are not read. Very long urls cost time in proportion.
+of rules of one length the first in RULES wins; repeated rows are judged alike,
+one by one; an empty table gives an empty result; without labelled rows of both
+kinds the model allows everything; columns other than id and url are not read.
+Very long urls cost time in proportion.
 """
 
 from __future__ import annotations
@@ -79,8 +85,9 @@ def grams(host: Column, path: Column) -> Column:
     return F.get(F.transform(F.array(chars), hashed), F.lit(0))
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 300, rate: float = 4.0, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 1500, rate: float = 4.0, shrink: float = 1e-4, block_weight: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled (url, label), label 1 for block: full-batch descent with momentum.
+    A row to block weighs block_weight times one to allow, so that urls unlike both are allowed.
 
     A count sets the hash below which urls can be among the lowest `rows`, so that
     tasks hand on a few times that many at most.
@@ -96,13 +103,18 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 300, rate: fl
     x = np.zeros((len(taken), BUCKETS))
     for i, r in enumerate(taken):
         np.add.at(x[i], r.grams, 1 / np.sqrt(len(r.grams)))
-    w, b, vw, vb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
+    used = np.flatnonzero(x.any(axis=0))
+    x, weight = x[:, used], np.where(y == 1, block_weight, 1.0)
+    weight /= weight.sum()
+    w, b, vw, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
     for _ in range(rounds):
-        off = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        vw = 0.9 * vw - rate * (1 - 0.9) * (x.T @ off / len(y) + shrink * w)
-        vb = 0.9 * vb - rate * (1 - 0.9) * off.mean()
+        off = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
+        vw = 0.9 * vw - rate * (1 - 0.9) * (x.T @ off + shrink * w)
+        vb = 0.9 * vb - rate * (1 - 0.9) * off.sum()
         w, b = w + vw, b + vb
-    return w, float(b)
+    every = np.zeros(BUCKETS)
+    every[used] = w
+    return every, float(b)
 
 
 def score(buckets: Column, model: tuple[np.ndarray, float]) -> Column:
@@ -121,6 +133,28 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[Rule, ...] = RULES
     return ruled.select(key, "host", "path", "rule", F.coalesce("stated", learned).alias("verdict"))
 
 
+#: Subjects of the labelled table's hosts.
+BLOCKED = "casino slots poker bets betting jackpot lottery roulette pills viagra pharmacy diet adult xxx porn sexy escort ads adserver banner click track tracker popup spam backlink linkfarm farm seo replica cheap free loans payday crypto prize winner bonus warez keygen crack torrent phishing malware".split()
+ALLOWED = "library museum university school college news journal recipes garden travel hiking wiki docs manual poems music choir theatre cinema chess football cycling maths physics biology history geology medicine hospital court council parliament railway harbour reader writer thinking letters station language dictionary article forum thread theology health earth mother weather heather method nation motion intention entrance heritage theory thousand winter".split()
+#: What stands with a subject, before or after it.
+COMPANIONS = "online my the best daily north old open world house club land guide point notes".split()
+
+
+def labelled_urls(spark: SparkSession, forms: int = 8) -> DataFrame:
+    """The package's labelled table (url, label), label 1 for block, with so many hosts for each subject."""
+    rows = []
+    for label, subjects in ((1, BLOCKED), (0, ALLOWED)):
+        for i, subject in enumerate(subjects):
+            for form in range(forms):
+                k = i * forms + form
+                companion = COMPANIONS[(i + 2 * form) % len(COMPANIONS)]
+                name = (f"{subject}-{companion}", f"{companion}-{subject}", f"{companion}{subject}", subject)[form % 4]
+                host = ("", "www.", "m.", "blog.")[(i + form) % 4] + name + ".example." + ("com", "net", "org")[k % 3]
+                path = f"/{('en', 'de', 'fr', 'es')[(i + form // 2) % 4]}/{37 * k % 990 + 1}" + ("", ".html", "?page=2", "#top")[(k // 4) % 4]
+                rows.append((f"http{'s' if k % 2 else ''}://{host}{path}", label))
+    return spark.createDataFrame(rows, "url string, label int")
+
+
 def ruled_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
     """The labelled table that the rules themselves give: (url, label) of every page that one fits."""
     u = column(pages, url)
@@ -130,4 +164,4 @@ def ruled_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, ruled_urls(pages))
+    return judge(pages, labelled_urls(spark))

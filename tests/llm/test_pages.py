@@ -5,6 +5,7 @@ import hashlib
 from urllib.parse import quote
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from phonolake.llm import op5_urls as op5
@@ -57,6 +58,47 @@ def test_held_out_accuracy(spark):
     assert held.agg(F.avg(((op5.score(grams, model) > 0).cast("int") == F.col("label")).cast("int"))).first()[0] > 0.93
 
 
+def _agreement(model, labelled):
+    grams = op5.grams(op5.host_of(F.col("url")), op5.path_of(F.col("url")))
+    return labelled.agg(F.avg(((op5.score(grams, model) > 0).cast("int") == F.col("label")).cast("int"))).first()[0]
+
+
+def test_held_out_accuracy_on_the_labelled_table(spark):
+    labelled = op5.labelled_urls(spark)
+    assert labelled.distinct().count() == labelled.count() == 8 * (len(op5.BLOCKED) + len(op5.ALLOWED))
+    got = [_agreement(op5.fit(labelled.where(f"pmod(crc32(url), 4) <> {k}")), labelled.where(f"pmod(crc32(url), 4) = {k}")) for k in range(4)]
+    assert sum(got) / 4 > 0.88
+
+
+def test_accuracy_on_urls_that_no_rule_decides(spark):
+    """The test tables' unwanted hosts are named by what they do; none of these hosts is in the labelled table."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    unwanted = F.col("host").rlike(r"casino-win|free-bets|cheap-pills|ads-track|spam-farm|adult-x")
+    got = {r.bad: r for r in op5.judge(pages, op5.labelled_urls(spark)).where("rule IS NULL").groupBy(unwanted.alias("bad")).agg(F.avg((F.col("verdict") == "block").cast("int")).alias("blocked"), F.count(F.lit(1)).alias("n")).collect()}
+    assert got[True].n > 50 and got[True].blocked > 0.95
+    assert got[False].n > 1000 and got[False].blocked < 0.05
+
+
+def test_scores_are_those_of_brute_force(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in URLS if i != 12] + [(20 + i, f"http://{h}.example.net/p/{i}") for i, h in enumerate(("casino", "library", "zzz"))], "page_id long, url string")
+    weights, bias = op5.fit(op5.labelled_urls(spark))
+
+    def bucket(gram):
+        h = 42
+        for c in gram:
+            h = xxhash.xxh64(c.encode(), seed=h).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) % op5.BUCKETS
+
+    got = {r.page_id: r for r in op5.judge(pages, op5.labelled_urls(spark)).collect()}
+    for r in pages.collect():
+        host, path = _parts(r.url)
+        marked = f"^{host}${path} "
+        grams = [bucket(marked[i : i + 3]) for i in range(len(marked) - 2)]
+        score = sum(weights[g] for g in grams) / len(grams) ** 0.5 + bias
+        assert got[r.page_id].verdict == (_rule(host, path)[1] or ("block" if score > 0 else "allow"))
+    assert got[20].verdict == "block" and got[21].verdict == "allow"
+
+
 HTML = [
     (5, "http://a/1", "<p>" + "x" * 200), (3, "http://a/2", "<p>" + "x" * 200), (9, None, "<p>" + "x" * 200), (4, "u", "short"), (2, "u", "short"), (6, "u", None), (7, "u", ""),
     (8, "u\r\nWARC/1.1\r\nx", "WARC/1.1\r\n\r\n\r\n\r\nContent-Length: 3\r\n\r\nabc\r\n" * 20), (10, "u", "é\n\r\n" * 300_000), (11, "u", "a" * 3_000_000), (12, "u", "\n"), (13, "u", "\r\n\r\n"), (None, "u", "only " * 40),
