@@ -90,5 +90,8 @@ def folded_turns(turns: Column, least: float) -> Column:
 
 
 def spaced(times: Column, least: float) -> Column:
-    """The times of a sorted array that a left-to-right walk accepts at `least` apart."""
-    return F.aggregate(times, F.slice(times, 1, 0), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc))
+    """How many times of a sorted array a left-to-right walk accepts at `least` apart: it only has to
+    remember the last one."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"))
+    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= least), F.struct(t.cast("double").alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    return F.aggregate(times, start, step, lambda acc: acc["n"])

@@ -700,5 +700,5 @@ def syllable_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal.prominence(s).withColumn("before", F.lag("x").over(w)).withColumn("after", F.lead("x").over(w)).withColumn("top", F.max("x").over(Window.partitionBy("rec")))
     peak = F.col("speech") & (F.col("x") > 0.25 * F.col("top")) & (F.col("x") >= F.col("before")) & (F.col("x") > F.col("after")) & (F.col("prominence") >= 0.5)
     found = s.groupBy("rec").agg(F.array_sort(F.collect_list(F.when(peak, F.col("i")))).alias("at"), (F.sum(F.col("speech").cast("int")) * 0.01).alias("speech_s"))
-    n = F.size(segments.spaced(F.col("at"), 12))
+    n = segments.spaced(F.col("at"), 12)
     return found.select("rec", n.alias("syllable_est"), F.when(F.col("speech_s") > 0.2, F.round(n / F.col("speech_s"), 2)).alias("articulation_rate_syl_per_s"))
