@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+Defined results: a null or empty text has under twenty words, so the first stage
+drops it, and packing meets no null; texts of any length are taken whole; of equal
+and of repeated rows the near-duplicate stage keeps one, that with the smallest id
+(null ids come last); documents with one id and different texts are different ones;
+other columns pass through all stages but the last, whatever their names; an empty
+table gives an empty result, and an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
