@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonolake.functions.scalar import hann
+from phonolake.functions.scalar import db, hann
+from phonolake.operators.segments import runs
 
 
 def samples(recordings: DataFrame, rec: str, array: str) -> DataFrame:
@@ -126,6 +127,17 @@ def log_bands(spectrum: DataFrame, rate: float, n: int, bands: int = 20) -> Data
     return joined.groupBy("rec", "band").agg(F.log(F.sqrt(energy) + F.lit(1e-10)).alias("level"))
 
 
+def issues(recordings: DataFrame, signal: DataFrame) -> DataFrame:
+    """(rec, issues): what is wrong with each of recordings (rec), by its samples in signal (rec, i, x)."""
+    square = F.col("x") * F.col("x")
+    found = signal.groupBy("rec").agg(db(F.max(square)).alias("peak"), F.percentile(db(square + F.lit(1e-12)), F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    full = runs(signal.withColumn("full", F.abs("x") >= 0.999), ["rec"], ["i"], "full").where("full AND n >= 3").groupBy("rec").agg(F.lit(True).alias("clipped"))
+    whole = recordings.join(found, "rec", "left").join(full, "rec", "left")
+    gap = F.col("q")[1] - F.col("q")[0]
+    listed = F.array_compact(F.array(F.when(F.col("clipped"), "clipping"), F.when(F.col("peak") < -30, "too quiet"), F.when((gap >= 6) & (gap < 20), "low SNR")))
+    return whole.select("rec", F.when(F.col("peak").isNull(), F.array(F.lit("empty file"))).otherwise(listed).alias("issues"))
+
+
 def harmonicity(arrays: DataFrame, rec: str, x: Column, lag: int) -> DataFrame:
     """(rec, hnr_db) of one frame each: the normalised correlation at the lag as harmonics to noise.
     NULL where the frame is silent or the correlation is not positive."""

@@ -131,6 +131,21 @@ def snr_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(both.select("peak_dbfs", "snr_db", issues.alias("issues")), "peak_dbfs", "snr_db", places=4)
 
 
+@query(
+    f"WITH {_UNNEST}, s AS (SELECT rec, i, least(1, greatest(-1, x * CASE rec % 4 WHEN 0 THEN 20 WHEN 1 THEN 1 WHEN 2 THEN 0.01::DOUBLE ELSE 400 END)) AS x FROM v WHERE rec % 50 <> 7), "
+    f"q AS (SELECT rec, {_DB.format('max(x * x)')} AS peak, quantile_cont({_DB.format('x * x + 1e-12')}, 0.9) - quantile_cont({_DB.format('x * x + 1e-12')}, 0.1) AS gap FROM s GROUP BY rec), "
+    "c AS (SELECT rec, i - row_number() OVER (PARTITION BY rec ORDER BY i) AS g FROM s WHERE abs(x) >= 0.999::DOUBLE), k AS (SELECT DISTINCT rec FROM (SELECT rec, g FROM c GROUP BY rec, g HAVING count(*) >= 3)) "
+    "SELECT vec_id AS rec, CASE WHEN q.rec IS NULL THEN 'empty file' ELSE concat_ws('; ', CASE WHEN k.rec IS NOT NULL THEN 'clipping' END, CASE WHEN peak < -30 THEN 'too quiet' END, CASE WHEN gap >= 6 AND gap < 20 THEN 'low SNR' END) END AS issues "
+    "FROM embeddings LEFT JOIN q ON q.rec = vec_id LEFT JOIN k ON k.rec = vec_id"
+)
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 to Q4, C14: every issue of every array as a recording, louder and quieter, some without samples."""
+    gain = F.when(F.col("rec") % 4 == 0, 20.0).when(F.col("rec") % 4 == 1, 1.0).when(F.col("rec") % 4 == 2, 0.01).otherwise(400.0)
+    s = _vectors(spark, sf_dir).where("rec % 50 <> 7").withColumn("x", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("x") * gain)))
+    found = signal.issues(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec")), s)
+    return found.select("rec", F.concat_ws("; ", "issues").alias("issues"))
+
+
 _CLIP = "least(1, greatest(-1, 1.3::DOUBLE * sin(6.283185307179586::DOUBLE * 100 / 16000 * i)))"
 
 
