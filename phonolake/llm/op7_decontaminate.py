@@ -5,9 +5,11 @@ window). All shingles of a window must occur for the window to occur, so the
 join's necessary prefix is one shingle: the one rarest in all documents. Each
 document word opens a shingle; those that equal a prefix are candidates, cut by
 position (the window must begin and end inside the document) and verified word
-for word over the window. The distinct windows are broadcast in blocks of at most
-BLOCK_WINDOWS rows, so that size is bounded whatever the benchmark's size; the
-items that a window stands for join only what was found.
+for word over the window. Up to BLOCK_WINDOWS distinct windows are broadcast, and
+documents are read twice: to count shingles, and to match. More windows go by hash:
+documents are still read once for each pass, their shingles meet the windows' by an
+equality join of 64-bit hashes, and what meets goes back to the documents to be
+verified. The items that a window stands for join only what was found.
 
 Shingles compare under full lower-casing, which merges all that ASCII
 lower-casing merges; the verification compares under ASCII lower-casing.
@@ -31,7 +33,10 @@ from phonolake.llm.common import column, materialize, repeated, table, text_key,
 WINDOW = 10
 #: Words in a shingle of the prefix filter; one-word windows use one word.
 SHINGLE = 2
+#: Rows of windows, and of shingles, that are broadcast at most: some 10 MB.
 BLOCK_WINDOWS = 100_000
+#: 64-bit hashes that are broadcast at most: some 30 MB.
+BROADCAST_HASHES = 1 << 20
 #: Everything but digits, letters of either case, and code points past ASCII.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -64,10 +69,11 @@ def _opened(docs: DataFrame, n: int) -> DataFrame:
     return rows.select("*", *keys)
 
 
-def _blocks(rows: DataFrame, by: list[str]) -> list[DataFrame]:
-    """rows in parts of about BLOCK_WINDOWS at most, cut by a hash of their key."""
-    n = -(-rows.count() // BLOCK_WINDOWS)
-    return [rows] if n <= 1 else [rows.where(F.pmod(F.xxhash64(*by), F.lit(2 * n)) == i) for i in range(2 * n)]
+def _hashed(docs: DataFrame, n: int, hashes: DataFrame, *keep: str) -> DataFrame:
+    """(keep, h): the shingles of docs that are among hashes (h), by one join whatever their number."""
+    few = hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    opened = _opened(docs, n).where("pos > 0").select(*keep, F.xxhash64(*[f"k{i}" for i in range(n)]).alias("h"))
+    return opened.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
 
 
 def _signed(docs: DataFrame, wins: DataFrame, n: int) -> DataFrame:
@@ -75,11 +81,13 @@ def _signed(docs: DataFrame, wins: DataFrame, n: int) -> DataFrame:
     inside = F.transform(F.sequence(F.lit(0), F.col("len") - n), lambda i: F.struct(i.alias("off"), *_shingle(F.split("win", " "), i, n)))
     keys = [f"k{i}" for i in range(n)]
     each = materialize(wins.select("win", F.inline(inside)), "shingles")
-    wanted = each.select(*keys).distinct()
-    counts = None
-    for block in _blocks(materialize(wanted, "wanted"), keys):
-        found = _opened(docs, n).select(*keys).join(F.broadcast(block), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        counts = found if counts is None else counts.union(found)
+    wanted = materialize(each.select(*keys).distinct(), "wanted")
+    if wanted.count() <= BLOCK_WINDOWS:
+        counts = _opened(docs, n).select(*keys).join(F.broadcast(wanted), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        by_hash = wanted.select(F.xxhash64(*keys).alias("h"), *keys)
+        found = _hashed(docs, n, by_hash.select("h").distinct()).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        counts = by_hash.join(found, "h").select(*keys, "n")
     ranked = each.join(counts, keys, "left").select("win", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", *keys).alias("s"))
     return wins.join(ranked.groupBy("win").agg(F.min("s").alias("s")), "win").select("win", "len", "s.off", *[f"s.{k}" for k in keys])
 
@@ -88,19 +96,33 @@ def _matches(docs: DataFrame, wins: DataFrame, n: int, alone: bool) -> DataFrame
     """(doc_id, th, n_words, span, win) of occurrences; with alone, a row without a span for each document."""
     keys = [f"k{i}" for i in range(n)]
     signed = materialize(_signed(docs, wins, n), "signatures")
-    out = None
-    for i, block in enumerate(_blocks(signed, ["win"])):
-        if alone and i == 0:
-            blank = F.lit("")
-            block = block.unionByName(docs.sparkSession.range(1).select(blank.alias("win"), F.lit(0).alias("len"), F.lit(0).alias("off"), *[blank.alias(k) for k in keys]))
-        start = F.col("pos") - F.col("off")
-        whole = (F.col("pos") > 0) & (F.col("len") > 0) & (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
-        same = ascii_lower(F.array_join(F.slice("arr", start + 1, F.col("len")), " ")) == F.col("win")
-        hit = F.when(whole, same).otherwise((F.col("pos") == 0) & (F.col("len") == 0))
-        found = _opened(docs, n).join(F.broadcast(block), keys).where(hit)
-        found = found.select("doc_id", "th", "n_words", F.when(F.col("len") > 0, F.struct(start.alias("start"), "len")).alias("span"), "win")
-        out = found if out is None else out.union(found)
-    return out
+    if signed.count() > BLOCK_WINDOWS:
+        return _far_matches(docs, signed, n, alone)
+    if alone:
+        blank = F.lit("")
+        signed = signed.unionByName(docs.sparkSession.range(1).select(blank.alias("win"), F.lit(0).alias("len"), F.lit(0).alias("off"), *[blank.alias(k) for k in keys]))
+    start = F.col("pos") - F.col("off")
+    whole = (F.col("pos") > 0) & (F.col("len") > 0) & (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
+    same = ascii_lower(F.array_join(F.slice("arr", start + 1, F.col("len")), " ")) == F.col("win")
+    hit = F.when(whole, same).otherwise((F.col("pos") == 0) & (F.col("len") == 0))
+    found = _opened(docs, n).join(F.broadcast(signed), keys).where(hit)
+    return found.select("doc_id", "th", "n_words", F.when(F.col("len") > 0, F.struct(start.alias("start"), "len")).alias("span"), "win")
+
+
+def _far_matches(docs: DataFrame, signed: DataFrame, n: int, alone: bool) -> DataFrame:
+    """`_matches` for more windows than are broadcast: shingles and windows meet by hash."""
+    by_hash = signed.select(F.xxhash64(*[f"k{i}" for i in range(n)]).alias("h"), "win", "len", "off")
+    opened = materialize(_hashed(docs, n, by_hash.select("h").distinct(), "doc_id", "th", "n_words", "pos"), "opened")
+    start = F.col("pos") - F.col("off")
+    inside = (start >= 1) & (start + F.col("len") - 1 <= F.col("n_words"))
+    near = opened.join(by_hash, "h").where(inside).select("doc_id", "th", F.struct(start.alias("start"), "len", "win").alias("at"))
+    near = materialize(near.groupBy(F.col("doc_id").alias("own"), F.col("th").alias("own_th")).agg(F.collect_set("at").alias("near")), "candidates")
+    held = docs.join(near, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
+    same = F.filter("near", lambda c: ascii_lower(F.array_join(F.slice("arr", c["start"] + 1, c["len"]), " ")) == c["win"])
+    found = held.select("doc_id", "th", "n_words", F.inline(F.transform(same, lambda c: F.struct(F.struct(c["start"].alias("start"), c["len"].alias("len")).alias("span"), c["win"].alias("win")))))
+    if not alone:
+        return found
+    return found.union(docs.select("doc_id", "th", "n_words", F.lit(None).cast(found.schema["span"].dataType).alias("span"), F.lit("").alias("win")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
