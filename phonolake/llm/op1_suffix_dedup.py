@@ -32,10 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonolake.llm import op9_paragraphs
 from phonolake.llm.common import column, materialize, release, ship, table, text_key
 from phonolake.llm.suffixes import BATCH_BYTES, common_prefixes, packed, suffix_array, texts_of, window_blocks
 
 LENGTH = 400
+#: Words of the passages that the query tells of beside what it removes.
+WORDS = 51
 SHARD_BYTES = 1 << 20
 #: Distinct blocks of an anchor in one shard.
 SPLIT = 2048
@@ -226,7 +229,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, text, the removed spans (start, end) in bytes, n_bytes and the kept bytes' SHA-256."""
+    """For each row: doc_id, r2 (its text's key), n_bytes, the removed spans (start, end) in bytes, and the
+    kept bytes' SHA-256."""
     ship(docs.sparkSession)
     t = F.coalesce(column(docs, text), F.lit(""))
     rows = docs.select(column(docs, key).alias("doc_id"), F.xxhash64(column(docs, key)).alias("r1"), text_key(t).alias("r2"), t.alias("text"))
@@ -238,11 +242,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
         for part, texts in texts_of(batches, 1):
             made = [_kept(data, held.as_py() or [], length) for data, held in zip(texts, part.column(2), strict=True)]
             sizes = pa.array([len(x) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([m[0] for m in made], spans), pa.array([m[1] for m in made], pa.string())], names=["doc_id", "n_bytes", "spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), sizes, pa.array([m[0] for m in made], spans), pa.array([m[1] for m in made], pa.string())], names=["doc_id", "r2", "n_bytes", "spans", "kept_sha256"])
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    joined = rows.join(runs, ["r1", "r2"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    joined = rows.join(runs, ["r1", "r2"], "left").select("doc_id", "text", "runs", "r2")
+    return joined.mapInArrow(run, f"doc_id {kind}, r2 long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
 def _kept(data: bytes, runs: list[dict], length: int) -> tuple[list[dict], str]:
@@ -262,6 +266,11 @@ def _kept(data: bytes, runs: list[dict], length: int) -> tuple[list[dict], str]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(table(spark, sf_dir, "documents"))
+    """The removal at 400 bytes; and, as that is 60 words or more in most languages, how many windows a
+    document has that tell of passages of WORDS words in other rows, however few bytes these are."""
+    docs = table(spark, sf_dir, "documents")
+    shared = op9_paragraphs.windows_shared(docs, WORDS).select(F.col("doc_id").alias("key1"), F.col("r2").alias("key2"), "n")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = dedup(docs).join(shared, F.col("doc_id").eqNullSafe(F.col("key1")) & (F.col("r2") == F.col("key2")), "left")
+    windows = F.coalesce("n", F.lit(0)).cast("long").alias("n_shared_windows")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", windows)

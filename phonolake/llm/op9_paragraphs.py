@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm.common import column, drop_shuffles, materialize, release, ship, table, text_key
@@ -281,6 +281,50 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return held.select("doc_id", "r2", F.inline("held")).withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("kept_in")))
 
 
+def windows_shared(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, r2, n) of the rows that share windows with others: windows of (words + 6) / 2 words, laid
+    where the least shingle of any `words` words begins and where it ends, and told apart by 64-bit
+    digests. Whatever rows share a passage of `words` words share such a window."""
+    ship(docs.sparkSession)
+    t = F.coalesce(column(docs, text), F.lit(""))
+    rows = docs.select(column(docs, key).alias("doc_id"), text_key(t).alias("r2"), t.alias("text"))
+    kind, size = rows.schema["doc_id"].dataType.simpleString(), (words + SHINGLE + 1) // 2
+
+    def laid(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, _, found = word_hashes(data)
+        doc = np.searchsorted(ends, start, "right")
+        at = np.arange(max(0, len(found) - SHINGLE + 1))
+        at = _anchors(span_hashes(found, at, at + SHINGLE), doc, words - SHINGLE + 1)
+        left = np.unique(np.concatenate((at, at + SHINGLE - size)))
+        left = left[(left >= 0) & (left + size <= len(found))]
+        left = left[doc[left] == doc[left + size - 1]]
+        return doc[left], span_hashes(found, left, left + size).view(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in texts_of(batches, 2):
+            doc, digest = laid(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), np.cumsum([len(t) + 1 for t in texts]))
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(doc)) for i in (0, 1)), pa.array(digest)], names=["doc_id", "r2", "digest"])
+
+    every = materialize(rows.mapInArrow(work, f"doc_id {kind}, r2 long, digest long"), "windows")
+    row = F.xxhash64("doc_id", "r2")
+    # A table of its own, so that the join with it may split a crowded window.
+    again = materialize(every.groupBy("digest").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low <> high").select("digest"), "again")
+    found = materialize(every.join(again, "digest").groupBy("doc_id", "r2").agg(F.count(F.lit(1)).alias("n")), "windows_shared")
+    release(every)
+    drop_shuffles(docs.sparkSession)
+    return found
+
+
+def covered(spans: str) -> Column:
+    """Bytes under sorted spans (start, end), overlaps once."""
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["end"]))).alias("n")),
+        lambda acc: acc["n"],
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_document(table(spark, sf_dir, "documents"))
 
@@ -289,12 +333,6 @@ def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """One row for each document: how many passages and bytes repeat, how many passages go, its
     smallest class, all its classes, and the documents that keep its passages. Documents without
     repeated passages have zeros, no smallest class and empty lists."""
-    merged = F.aggregate(
-        "held",
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["end"]))).alias("n")),
-        lambda acc: acc["n"],
-    )
     found = passages(docs, key, text, similarity)
     gone = F.size(F.filter("held", lambda h: ~h["kept_in"].eqNullSafe(F.col("doc_id"))))
     found = found.select(
@@ -302,7 +340,7 @@ def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
         F.col("r2").alias("key2"),
         F.size("held").alias("n"),
         gone.alias("gone"),
-        merged.alias("bytes"),
+        covered("held").alias("bytes"),
         F.array_sort(F.array_distinct("held.class_id")).alias("classes"),
         F.array_sort(F.array_compact(F.array_distinct("held.kept_in"))).alias("keepers"),
     )
