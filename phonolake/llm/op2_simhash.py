@@ -17,8 +17,9 @@ similarity on. Such pairs differ in a good tenth of their bits, too many for who
 blocks, so fingerprints are longer and the top level's masks are drawn bits, as
 many masks as a stated recall asks for. There, components are candidates only:
 inside each, the sets of shingles (by 64-bit hash) are compared, and only pairs
-from the stated similarity on are links. A component with over SPLIT texts is
-dealt, and every two deals are compared in a task of their own.
+from the stated similarity on are links. A component with over SPLIT texts, or
+SPLIT_BYTES of them, is dealt, and every two deals are compared in a task of their
+own.
 
 What leaves a pattern is a spanning forest, never all pairs; components of the
 forests are found across the cluster.
@@ -55,8 +56,9 @@ RADIUS = 3
 FANOUT = 16
 #: Members above which a pattern is factored by a third block.
 HOT = 50_000
-#: Distinct texts of a candidate component that one task compares.
+#: Distinct texts of a candidate component that one deal holds, and their bytes, about; a task compares two deals.
 SPLIT = 2048
+SPLIT_BYTES = 1 << 23
 
 
 def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
@@ -97,18 +99,18 @@ def _fields(width: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_shingle: int = 3, width: int = 1, repeats: bool = True) -> DataFrame:
-    """(key, r1, r2, f0 ..) of each row; r1 and r2 are hashes of its key and its text."""
+    """(key, r1, r2, size, f0 ..) of each row; r1 and r2 are hashes of its key and its text, size the text's bytes."""
     ship(docs.sparkSession)
     own, t = column(docs, key), column(docs, text)
-    slim = docs.select(own.alias("key"), F.xxhash64(own).alias("r1"), text_key(t).alias("r2"), t.alias("text"))
+    slim = docs.select(own.alias("key"), F.xxhash64(own).alias("r1"), text_key(t).alias("r2"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("size"), t.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t.as_py(), words_in_shingle, width, repeats) for t in batch.column(3)], np.int64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["key", "r1", "r2", *_fields(width)])
+            made = np.array([fingerprint(t.as_py(), words_in_shingle, width, repeats) for t in batch.column(4)], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=["key", "r1", "r2", "size", *_fields(width)])
 
     kinds = ", ".join(f"{f} long" for f in _fields(width))
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, r1 long, r2 long, {kinds}")
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, r1 long, r2 long, size long, {kinds}")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -381,12 +383,13 @@ def components_of(sets: list[frozenset], similarity: float) -> list[int]:
 
 
 def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the r2 of rows (r1, r2, text) with one label in found (r1, r2, label): a text
-    to the head of its component by that Jaccard similarity among the texts of two deals."""
-    members = materialize(found.groupBy("label", "r2").agg(F.min("r1").alias("r1")), "members")
+    """Links (a, b) between the r2 of rows (r1, r2, text) with one label in found (r1, r2, size, label): a
+    text to the head of its component by that Jaccard similarity among the texts of two deals."""
+    members = materialize(found.groupBy("label", "r2").agg(F.min("r1").alias("r1"), F.max("size").alias("size")), "members")
     # A table of its own, so that the join below may split a crowded label.
-    sizes = materialize(members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    wanted = members.join(sizes, "label").select("r1", "r2", "label", F.ceil(F.col("n") / SPLIT).alias("deals"))
+    deals = F.greatest(F.ceil(F.count(F.lit(1)) / SPLIT), F.ceil(F.sum("size") / SPLIT_BYTES))
+    sizes = materialize(members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), deals.alias("deals")).where("n > 1"), "sizes")
+    wanted = members.join(sizes, "label").select("r1", "r2", "label", F.greatest("deals", F.lit(1)).alias("deals"))
     # The same plan at every size: texts are dealt by their keys, and candidates go to them.
     held = rows.join(materialize(wanted, "wanted").hint("merge"), ["r1", "r2"]).withColumn("deal", F.pmod("r2", "deals"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
@@ -423,7 +426,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in_
     """
     fps = materialize(fingerprints(docs, key, text, words_in_shingle, width, repeats=False), "fingerprints")
     rows = fps.agg(F.approx_count_distinct(F.xxhash64(*_fields(width)), 0.02)).first()[0]
-    found = materialize(groups(fps, sampled_patterns(rows, similarity, width)).select("key", "r1", "r2", "label"), "candidates")
+    found = materialize(groups(fps, sampled_patterns(rows, similarity, width)).select("key", "r1", "r2", "size", "label"), "candidates")
     own, t = column(docs, key), column(docs, text)
     texts = docs.select(F.xxhash64(own).alias("r1"), text_key(t).alias("r2"), t.alias("text"))
     label = components(materialize(alike(texts, found, words_in_shingle, similarity), "alike"))
