@@ -10,8 +10,10 @@ such a word only if it has RATIO characters a token itself, else it is reported.
 
 Every span is in code points, end exclusive, over the whole text.
 
-Defined results: a null text is empty and has no spans; repeated rows are
-scanned alike, one by one; an empty table gives an empty result; `redact` keeps
+Defined results: a null text is empty and has no spans; texts and runs of any
+length are scanned whole, in time in proportion to them; spans that start
+together stand in the order of KINDS; repeated rows are scanned alike, one by
+one; an empty table gives an empty result; `redact` keeps
 all columns, whatever their names.
 """
 

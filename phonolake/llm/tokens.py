@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import cache
 
+import public_tokenizers
+
 #: Where the public vocabulary files lie; every function takes another path too.
-FOLDER = "/opt/tokenizers"
+FOLDER = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 #: The split rule that belongs to the byte-level vocabulary of 50k entries. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
