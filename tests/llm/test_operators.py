@@ -544,6 +544,35 @@ def test_alike_windows_are_those_of_brute_force(spark):
     assert {i for i, c in classes.items() if c} == {i for pair in alike for i in pair}
 
 
+def test_near_paragraphs_share_a_class(spark):
+    import random
+
+    rng = random.Random(9)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    a, b = " ".join(w[:120]), " ".join(w[:60] + ["other"] + w[60:120])
+    docs = spark.createDataFrame([(1, a), (2, b), (3, " ".join(w[200:320]))], "doc_id long, text string")
+    got = op9.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
+@pytest.mark.parametrize("n", [25, 30, 35, 43, 49])
+def test_short_texts_and_lines_are_found(spark, n):
+    import random
+
+    rng = random.Random(n)
+    some = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    lines = [some(n) for _ in range(60)]
+    texts = lines + [some(40) + "\n" + x + "\n" + some(70) for x in lines] + [x.replace(" ", "\n", 3) for x in lines]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in op9.repeated_passages(docs).collect():
+        got[r.doc_id].append((r.start, r.end))
+    for i, x in enumerate(texts):
+        low = 0 if i < 60 or i >= 120 else x.index(lines[i - 60])
+        size = len(lines[i % 60])
+        assert (min(a for a, _ in got[i]), max(b for _, b in got[i])) == (low, low + size)
+
+
 @pytest.mark.parametrize("n, edits", [(25, 0), (30, 0), (40, 0), (50, 0), (50, 1), (100, 2), (140, 3)])
 def test_embedded_passages_are_found(spark, n, edits):
     """Passages inside foreign words, exact or with words changed as far as 0.8 allows, are all found."""
