@@ -71,20 +71,32 @@ def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(named, [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in by], "left").drop(*[f"__b_{k}" for k in by])
 
 
-def energetic_half(frames: DataFrame, by: list[str], energy: str, tie: list[str]) -> DataFrame:
-    """The most energetic half of a group's frames, five at least if it has them."""
-    return ranks.upper_half(frames, by, energy, tie)
-
-
-def formant_summary(frames: DataFrame, by: list[str], names: list[str], like: DataFrame | None = None) -> DataFrame:
+def energetic_half(frames: DataFrame, by: list[str], energy: str, tie: list[str], bounded: bool = False) -> DataFrame:
+    """The most energetic half of a group's frames, five at least if it has them. Groups that are known
+    to fit a task, as one recording's frames do, are ranked there in one pass over frames."""
+    if not bounded:
+        return ranks.upper_half(frames, by, energy, tie)
+    w = Window.partitionBy(*by)
+    place = F.row_number().over(w.orderBy(F.col(energy).desc(), *[F.col(t).desc() for t in tie]))
+    ranked = frames.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__place", place)
+    return ranked.where(F.col("__place") <= F.greatest(F.lit(5), F.floor(F.col("__n") / 2))).drop("__n", "__place")
+
+
+def formant_summary(frames: DataFrame, by: list[str], names: list[str], like: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Median and quartile distance of each formant over frames that have all, and its confidence:
-    how often it was found, times how little it scatters. For like see `ranks.quantiles`."""
+    how often it was found, times how little it scatters. For like see `ranks.quantiles`, for bounded
+    `energetic_half`."""
     full = F.lit(True)
     for n in names:
         full = full & F.col(n).isNotNull()
     found = [F.avg(F.col(n).isNotNull().cast("int")).alias(f"__c_{n}") for n in names]
-    out = frames.groupBy(*by).agg(F.sum(full.cast("long")).alias("n_frames"), *found)
-    out = _beside(out, ranks.quantiles(frames.where(full).select(*by, *names), by, names, [0.25, 0.5, 0.75], "__q", like), by)
+    shares = [0.25, 0.5, 0.75]
+    if bounded:
+        own = F.array(*[F.percentile(F.when(full, F.col(n)), F.array(*[F.lit(x) for x in shares])) for n in names])
+        out = frames.groupBy(*by).agg(F.sum(full.cast("long")).alias("n_frames"), *found, own.alias("__q"))
+    else:
+        out = frames.groupBy(*by).agg(F.sum(full.cast("long")).alias("n_frames"), *found)
+        out = _beside(out, ranks.quantiles(frames.where(full).select(*by, *names), by, names, shares, "__q", like), by)
     cols = [*by, "n_frames"]
     for k, n in enumerate(names):
         q = F.col("__q")[k]

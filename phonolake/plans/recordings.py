@@ -66,8 +66,8 @@ def segment_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lpc_formants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formant medians from the frame table."""
     engine, v = _voices(spark, sf_dir)
-    half = statistics.energetic_half(engine.formant_frames(v).where("voiced"), ["path"], "energy", ["frame"])
-    return statistics.formant_summary(half, ["path"], ["F1", "F2", "F3"])
+    half = statistics.energetic_half(engine.formant_frames(v).where("voiced"), ["path"], "energy", ["frame"], bounded=True)
+    return statistics.formant_summary(half, ["path"], ["F1", "F2", "F3"], bounded=True)
 
 
 @query()

@@ -50,3 +50,15 @@ def test_quantiles(rows):
 def test_nothing(rows):
     none = rows.limit(0)
     assert ranks.running_sum(none, ["g"], ["at"], "n", "used").count() == ranks.upper_half(none, ["g"], "v", ["id"]).count() == ranks.quantiles(none, ["g"], ["v"], [0.5], "q").count() == 0
+
+
+def test_bounded_groups_give_the_same(rows):
+    from phonolake.operators import statistics
+
+    some = rows.where("v IS NOT NULL AND g IS NOT NULL")
+    near, far = (statistics.energetic_half(some, ["g"], "v", ["id"], bounded=b) for b in (True, False))
+    assert sorted(r.id for r in near.collect()) == sorted(r.id for r in far.collect())
+    one, two = (sorted(map(tuple, statistics.formant_summary(some, ["g"], ["v", "n"], bounded=b).collect())) for b in (True, False))
+    assert len(one) == len(two) == 3
+    for a, b in zip(one, two, strict=True):
+        assert a == pytest.approx(b)
