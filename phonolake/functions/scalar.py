@@ -1,4 +1,4 @@
-"""Scalar and aggregate building blocks. Undefined values are NULL, never NaN."""
+"""Scalar and aggregate building blocks. Undefined values are NULL, never NaN (but for `cents`)."""
 
 from __future__ import annotations
 
@@ -19,7 +19,11 @@ def db(x: Column, floor: float = -120.0) -> Column:
 
 
 def cents(a: Column, b: Column) -> Column:
-    return F.lit(1200.0) * F.log2(a / b)
+    """1200 log2(a / b) as floating point has it, so that no row fails: infinite where one side is zero,
+    NaN where both are or the signs differ."""
+    # The inverse of zero is infinite, with zero's sign.
+    r = F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+    return F.lit(1200.0) * F.when(r < 0, F.lit(math.nan)).when(r == 0, F.lit(-math.inf)).otherwise(F.log2(r))
 
 
 def ratio(a: Column, b: Column) -> Column:

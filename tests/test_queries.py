@@ -55,3 +55,17 @@ def test_formant_rates_agree_with_the_kernel(spark):
     for r in spark.range(8000, 100_000, 379).select("id", formant_rate(F.col("id").cast("int"), 5500.0).alias("f")).collect():
         up, down = factors(r.id, 5500.0)
         assert r.f == r.id * up // down, r.id
+
+
+def test_nearest_match_takes_values_of_zero(spark, tmp_path):
+    from datetime import datetime
+
+    pairs = [(5.0, 2.5), (5.0, 0.0), (0.0, 5.0), (0.0, 0.0), (-5.0, 5.0), (-5.0, 0.0), (-5.0, -2.5), (None, 0.0), (5.0, None), (5.0, -0.0), (float("nan"), 5.0)]
+    rows = [(2 * u + k, datetime(2024, 1, 1, 0, k), u, kind, v, "") for u, pair in enumerate(pairs) for k, (kind, v) in enumerate(zip(("view", "click"), pair, strict=True))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["nearest_match"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["nearest_match"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(pairs)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
