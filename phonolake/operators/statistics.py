@@ -184,13 +184,14 @@ def metric_differences(a: DataFrame, b: DataFrame, metrics: dict[str, str]) -> D
 def nearest(a: DataFrame, b: DataFrame, by: list[str], at: str, within: float, tie: str | None = None) -> DataFrame:
     """Each row of a with the row of b nearest in time, not further than `within`; the later one of
     two as near. Times fall into buckets as wide as the tolerance, and b's rows stand in three, so the
-    join is by equality. Equal rows of a are matched once and come back as often as they stand there."""
+    join is by equality. Equal rows of a are matched once and come back as often as they stand there.
+    Where Python makes the rows, Spark takes them for few; so the join is by merging, whatever it thinks."""
     width = F.lit(within)
     left = a.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__bucket", F.floor(F.col(at) / width))
     right = b.select(F.struct(*[F.col(c).alias(f"b_{c}") for c in b.columns]).alias("__b"), F.explode(F.array(*[F.floor(F.col(at) / width) + k for k in (-1, 0, 1)])).alias("__b_bucket"))
     other = lambda c: F.col("__b")[f"b_{c}"]
     apart = F.abs(other(at) - F.col(at))
-    joined = left.join(right, [F.col(c) == other(c) for c in by] + [F.col("__bucket") == F.col("__b_bucket"), apart <= within])
+    joined = left.join(right.hint("merge"), [F.col(c) == other(c) for c in by] + [F.col("__bucket") == F.col("__b_bucket"), apart <= within])
     best = F.struct(-apart, other(at), *([other(tie)] if tie else []))
     found = joined.groupBy(*a.columns, "__copies").agg(F.max_by("__b", best).alias("__b"))
     again = found.select(*a.columns, "__b", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy"))

@@ -114,9 +114,10 @@ def condition_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = v.where("sample_rate = 16000")
     jobs = spark.createDataFrame([("22k", 11, 8, None), ("snr10db", 1, 1, 10.0)], "condition string, up int, down int, snr_db double")
     clean, changed = engine.pitch_frames(v), engine.pitch_frames(synthetic.conditions(v, jobs))
-    changed = changed.withColumn("condition", F.substring_index("path", "_", 1)).withColumn("path", F.regexp_replace("path", "^[^_]*_", ""))
-    parts = [engine.f0_agreement(changed.where(F.col("condition") == c), clean).withColumn("condition", F.lit(c)) for c in ("22k", "snr10db")]
-    return parts[0].union(parts[1])
+    # Changed recordings are known by condition and path, and so is what each is held against.
+    clean = clean.withColumn("path", F.explode(F.array(*[F.concat(F.lit(f"{c}_"), "path") for c in ("22k", "snr10db")])))
+    found = engine.f0_agreement(changed, clean)
+    return found.withColumn("condition", F.substring_index("path", "_", 1)).withColumn("path", F.regexp_replace("path", "^[^_]*_", ""))
 
 
 @query()

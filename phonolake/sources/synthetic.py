@@ -72,7 +72,8 @@ def voices(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 def conditions(recordings: DataFrame, jobs: DataFrame) -> DataFrame:
     """Each recording under each job (condition, up, down, snr_db): resampled, or with noise."""
-    crossed = recordings.where("error IS NULL").crossJoin(jobs)  # jobs: a handful of conditions
+    # A handful of conditions go to the recordings, whose size Spark cannot tell.
+    crossed = recordings.where("error IS NULL").crossJoin(F.broadcast(jobs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

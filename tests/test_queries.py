@@ -69,3 +69,10 @@ def test_nearest_match_takes_values_of_zero(spark, tmp_path):
     got = [tuple(r) for r in registry.QUERIES["nearest_match"](spark, str(tmp_path)).collect()]
     assert len(got) == len(pairs)
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_recordings_and_their_frames_are_not_broadcast(spark):
+    plan = registry.QUERIES["condition_agreement"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line.partition("Join ")[2] for line in plan.splitlines() if "BroadcastNestedLoopJoin" in line]
+    assert joins and all(j.startswith("BuildRight") for j in joins)  # the conditions
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
