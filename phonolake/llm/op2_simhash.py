@@ -33,13 +33,11 @@ the key and the text are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -345,41 +343,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return found.join(smallest, "label").select("key", "fp", "component")
 
 
-def components_of(sets: list[frozenset], similarity: float) -> list[int]:
-    """For each set the first one of its component, by links of that Jaccard similarity.
+#: Texts of a component that a text meets at first; those of components not linked by then come later, in growing numbers.
+FIRST = 8
+
+
+def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k] to starts[k] + sizes[k] - 1 of every k, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def components_of(sets: list, similarity: float) -> list[int]:
+    """For each set, or array of different integers, the first one of its component, by links of that
+    Jaccard similarity.
 
     A prefix-filtered join: two sets that are alike share one of the rarest few of
-    either's members, so only sets that meet there are compared, and only while
-    they are not in one component already: below each member of a prefix, sets
-    are kept by component.
+    both, so only sets that meet there are compared, each pair once at most, and only
+    while they are not in one component already: of each component that a set
+    meets, a few are compared first, and the others only if none of these is a link.
     """
-    often = Counter(chain.from_iterable(sets))
-    head = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while head[i] != i:
-            head[i] = head[head[i]]
-            i = head[i]
-        return i
-
-    met: dict = defaultdict(dict)
-    for i, own in enumerate(sets):
-        prefix = heapq.nsmallest(len(own) - math.ceil(similarity * len(own) - 1e-9) + 1, own, key=lambda x: (often[x], x))
-        for x in prefix:
-            for h in [h for h in met[x] if root(h) != h]:
-                met[x].setdefault(root(h), []).extend(met[x].pop(h))
-            for h, kept in list(met[x].items()):
-                if root(h) == root(i):
-                    continue
-                for j in kept:
-                    both = len(own & sets[j])
-                    if both >= similarity * (len(own) + len(sets[j]) - both):
-                        a, b = root(i), root(j)
-                        head[max(a, b)] = min(a, b)
-                        break
-        for x in prefix:
-            met[x].setdefault(root(i), []).append(i)
-    return [root(i) for i in range(len(sets))]
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    own = np.concatenate([np.fromiter(x, np.uint64, len(x)) for x in sets]) if n else np.empty(0, np.uint64)
+    _, member, often = np.unique(own, return_inverse=True, return_counts=True)
+    place = np.empty(len(often), np.int64)
+    place[np.argsort(often, kind="stable")] = np.arange(len(often))
+    member, who = place[member], np.repeat(np.arange(n), size)
+    member = member[np.lexsort((member, who))]  # each set's members, rarest first
+    start = np.cumsum(size) - size
+    prefix = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    # Sets that have a member in their prefix, as many as have been seen.
+    room = np.bincount(member[_slices(start, prefix)], minlength=len(often))
+    first, filled = np.cumsum(room) - room, np.zeros(len(often), np.int64)
+    met, label = np.empty(room.sum(), np.int64), np.arange(n)
+    mine, seen = np.zeros(len(often), bool), np.zeros(n, bool)
+    for i in range(n):
+        items, head = member[start[i] : start[i] + size[i]], member[start[i] : start[i] + prefix[i]]
+        seen[met[_slices(first[head], filled[head])]] = True
+        near = np.flatnonzero(seen[:i])
+        seen[near] = False
+        met[first[head] + filled[head]] = i
+        filled[head] += 1
+        near = near[(size[near] >= similarity * size[i]) & (size[i] >= similarity * size[near])]
+        near = near[np.argsort(label[near], kind="stable")]
+        mine[items] = True
+        most = FIRST
+        while len(near):
+            of = label[near]
+            new = np.concatenate(([True], of[1:] != of[:-1]))
+            turn = np.arange(len(near)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            now = near[turn < most]
+            both = np.add.reduceat(mine[member[_slices(start[now], size[now])]], np.cumsum(size[now]) - size[now], dtype=np.int64)
+            linked = np.unique(label[now[both >= similarity * (size[i] + size[now] - both)]])
+            near = near[(turn >= most) & ~np.isin(of, linked)]
+            if len(linked):
+                some = np.append(linked, label[i])
+                label[: i + 1][np.isin(label[: i + 1], some)] = some.min()
+            most *= 8
+        mine[items] = False
+    return label.tolist()
 
 
 def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
@@ -397,7 +418,8 @@ def alike(rows: DataFrame, found: DataFrame, words_in_shingle: int, similarity:
     held = held.where("deals = 1 OR deal <> other").select("label", F.least("deal", "other").alias("low"), F.greatest("deal", "other").alias("high"), "r2", "text")
 
     def links_of(group: list[tuple[int, str | None]]) -> list[tuple[int, int]]:
-        sets = [frozenset(shingle_hashes(t, words_in_shingle).tolist() or [0]) for _, t in group]  # texts without words are equal
+        sets = [np.unique(shingle_hashes(t, words_in_shingle)) for _, t in group]
+        sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]  # texts without words are equal
         return [(group[i][0], group[h][0]) for i, h in enumerate(components_of(sets, similarity)) if h != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
