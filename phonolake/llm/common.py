@@ -9,6 +9,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return made
 
 
+#: Rows that go to Python at once where they are whole texts.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands Python BATCH_ROWS rows at a time at most: an executor holds a batch
+    several times over, and a Python worker keeps the room of its largest."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def release(made: DataFrame) -> None:
     """Delete a table that `materialize` wrote, once all that reads it is written itself."""
     spark, path = made.sparkSession, made._written_to

@@ -45,10 +45,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import column, drop_shuffles, materialize, release, ship, table, text_key
+from phonolake.llm.common import column, drop_shuffles, materialize, release, ship, small_batches, table, text_key
 from phonolake.llm.graph import components
 from phonolake.llm.op2_simhash import join
-from phonolake.llm.suffixes import BATCH_BYTES, mixed, sliding_min, span_hashes, texts_of, word_hashes
+from phonolake.llm.suffixes import mixed, sliding_min, span_hashes, texts_of, word_hashes
 
 PARAGRAPH = 25
 SHINGLE = 5
@@ -57,6 +57,8 @@ SIMILARITY = 0.8
 SPLIT = 1 << 14
 #: Words among which bands are looked for at once.
 CHUNK = 1 << 20
+#: Bytes of text, or of contexts, handled at once: their runs take some ten times that.
+BATCH_BYTES = 1 << 20
 _HALF = 32
 
 
@@ -107,7 +109,7 @@ def banded(rows: DataFrame, run: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_of(batches, 2):
+        for part, texts in texts_of(batches, 2, BATCH_BYTES):
             ends = np.cumsum([len(t) + 1 for t in texts])
             doc, first, before, after, band, ctx = bands(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), ends, run)
             place = first - np.concatenate(([0], ends))[doc]
@@ -214,7 +216,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
     grouped = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("place", "span", "band", "ctx", "own", "n")).alias("held"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_of(batches, 0):
+        for part, texts in texts_of(batches, 0, BATCH_BYTES):
             out = []
             for data, held in zip(texts, part.column(1).to_pylist(), strict=True):
                 for w in held:
@@ -237,7 +239,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     r1 = F.xxhash64("doc_id")
     row = F.xxhash64(r1, "r2")
     # Tables of their own, so that the joins with them may split a crowded band, context or class.
-    every = materialize(banded(rows, run), "bands")
+    with small_batches(spark):
+        every = materialize(banded(rows, run), "bands")
     again = every.groupBy("band").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low <> high").select("band")
     again = materialize(again, "repeated")
     drop_shuffles(spark)
@@ -253,7 +256,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     single = found.join(kinds.where("n = 1").select("band"), "band")
     single = single.select("band", "ctx", F.xxhash64("band", "ctx").alias("class_id"), (-before).alias("first"), after.alias("end"), "kept_in")
     wanted = found.join(kinds.where("n > 1"), "band").select("r1", "r2", "place", "span", "band", "ctx", (F.col("low") != F.col("high")).alias("own"), "n")
-    held = materialize(_contexts(rows.select(r1.alias("r1"), "r2", "text"), wanted, run), "held")
+    with small_batches(spark):
+        held = materialize(_contexts(rows.select(r1.alias("r1"), "r2", "text"), wanted, run), "held")
     drop_shuffles(spark)
     linked = materialize(alike(held, run), "linked")
     release(held)

@@ -26,14 +26,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SYMBOLS = np.random.default_rng(400).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], field: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches with about BATCH_BYTES of text, and those texts as bytes."""
+def texts_of(batches: Iterator[pa.RecordBatch], field: int, most: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches with about so many bytes of text, and those texts as bytes."""
     for batch in batches:
         texts = batch.column(field).cast(pa.binary())
         sizes = np.cumsum(np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), np.int64, len(texts)))
         low = 0
         while low < len(texts):
-            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BATCH_BYTES, "right")))
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
             yield batch.slice(low, high - low), [x or b"" for x in texts.slice(low, high - low).to_pylist()]
             low = high
 

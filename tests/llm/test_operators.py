@@ -563,6 +563,22 @@ def test_alike_windows_are_those_of_brute_force(spark):
     assert {i for i, c in classes.items() if c} == {i for pair in alike for i in pair}
 
 
+def test_paragraphs_go_to_python_by_small_batches(spark, docs, monkeypatch):
+    import pyarrow as pa
+
+    name, write, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", op9.materialize, {}
+    before = spark.conf.get(name)
+    monkeypatch.setattr(op9, "materialize", lambda df, tag: (seen.update({tag: int(spark.conf.get(name))}), write(df, tag))[1])
+    op9.passages(docs)
+    assert max(seen["bands"], seen["held"]) <= 1000 and spark.conf.get(name) == before
+    n = 12_000
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    rows = [range(n), range(n), [False] * n, [0] * n, [b"x" * 500] * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=list("abcde"))
+    sizes = [sum(map(len, texts)) for *_, texts in op9._batched(iter([batch]), True)]
+    assert sum(sizes) == 500 * n and max(sizes) <= (1 << 20) + 500
+
+
 def test_near_paragraphs_share_a_class(spark):
     import random
 
